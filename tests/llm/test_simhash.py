@@ -1,0 +1,134 @@
+import random
+import re
+
+import xxhash
+from pyspark.sql import functions as F
+
+from tablewright.llm import simhash
+
+SCHEMA = "doc_id long, text string, lang string, u long, v long"
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    made = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in made) > len(made))
+
+
+def plain_components(fps, most=3):
+    """{(fp): set of fps} by brute force."""
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    every = sorted(root)
+    for k, a in enumerate(every):
+        for b in every[k + 1 :]:
+            if (a ^ b).bit_count() <= most:
+                ra, rb = find(a), find(b)
+                root[max(ra, rb)] = min(ra, rb)
+    return {f: find(f) for f in every}
+
+
+def expected(rows):
+    fps = [plain_fingerprint(r[1]) for r in rows]
+    root = plain_components(fps)
+    least = {}
+    for r, f in zip(rows, fps):
+        if r[0] is not None:
+            least[root[f]] = min(r[0], least.get(root[f], r[0]))
+    return sorted((str(r[0]), f, str(least.get(root[f]))) for r, f in zip(rows, fps))
+
+
+def rows_of_all_kinds():
+    rng = random.Random(3)
+    words = ["alpha", "Beta", "gamma", "été", "x", "don't", "ΣΑΣ", "12"]
+    rows = []
+    for k in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([1, 2, 3, 4, 30, 200]))]
+        rows.append((k, " ".join(base), "en", 1, 2))
+        near = list(base)
+        near[rng.randrange(len(near))] = "changed"
+        rows.append((100 + k, "\n".join(near), None, None, None))
+    rows += [(7, None, None, 0, 0), (8, "", None, 0, 0), (9, " \t\x0b\r\n", None, 0, 0), (None, "alpha", None, 0, 0), (None, None, None, 0, 0)]
+    rows += [rows[0], rows[0], (None, "only nulls have this", None, 1, 1), (500, "word " * 50_000, "en", 1, 1)]
+    return rows
+
+
+def test_components_equal_brute_force(spark):
+    rows = rows_of_all_kinds()
+    got = simhash.near_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.doc_id), r.fp % (1 << 64), str(r.component_id)) for r in got) == expected(rows)
+
+
+def test_links_of_planted_fingerprints(spark):
+    rng = random.Random(5)
+    fps = set()
+    for _ in range(150):
+        f = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 2, 5])):
+            fps.add(f)
+            for b in rng.sample(range(64), rng.choice([1, 2, 3, 4])):
+                f ^= 1 << b
+    centre = rng.getrandbits(64)
+    fps |= {centre ^ (1 << a) ^ (1 << b) for a in range(40) for b in range(a)}
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    nodes = spark.createDataFrame(signed, "fp long")
+    edges = simhash.links(nodes)
+    assert edges.count() < 12 * len(fps)
+    found = {r.u % (1 << 64): r.root % (1 << 64) for r in simhash.components(edges).collect()}
+    groups = {}
+    for f, r in plain_components(fps).items():
+        groups.setdefault(r, set()).add(f)
+    mine = {}
+    for f in fps:
+        mine.setdefault(found.get(f, f), set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_long_runs_are_split_exactly(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LONG_RUN", 40)
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    shared = simhash._PAIRS[0]
+    fps = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    fps = np.unique(np.concatenate([fps, fps ^ (np.uint64(1) << rng.integers(30, 64, 300).astype(np.uint64))]))
+    fps = np.unique(fps & ~np.uint64(shared))
+    got = simhash._links_of(np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int32), fps, 3)
+    root = plain_components([int(f) for f in fps])
+    assert len(got) == len(fps) - len(set(root.values()))
+    assert all(root[int(a)] == root[int(b)] for a, b in got)
+
+
+def test_one_of_each(spark):
+    rows = rows_of_all_kinds()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    by = {}
+    for r in simhash.near_components(docs).collect():
+        by.setdefault(r.component_id, set()).add(r.doc_id)
+    fps = [plain_fingerprint(r.text) for r in kept.collect()]
+    roots = plain_components([plain_fingerprint(r[1]) for r in rows])
+    assert sorted(roots[f] for f in fps) == sorted(set(roots.values()))
+    assert all(r.doc_id is None or r.doc_id == min(x for x in by[r.doc_id] if x is not None) for r in kept.collect())
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert simhash.near_components(docs).collect() == []
+    assert simhash.one_of_each(docs).collect() == []
+
+
+def test_plan_has_no_cross_join(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en", 1, 1)], SCHEMA)
+    plan = simhash.near_components(docs)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
+    assert F is not None
