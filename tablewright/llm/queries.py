@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bestfit, simhash, tokenout
+from tablewright.llm import ann, bestfit, chat, decontaminate, langid, quality, simhash, tokenout, toxicity, urlfilter
+from tablewright.llm.common import crc_of_id
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"), lambda id_: id_ % 100 == 0, k=10)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_of_id() % 4 == 2, F.lit(False))
+    model = toxicity.train(docs.filter(~held_out), _table(spark, sf_dir, "labels"))
+    made = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(docs, model).alias("score"))
+    return made.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenout.packed_sequences(_table(spark, sf_dir, "documents"))
 
@@ -25,8 +38,58 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.digests(chat.formatted(rows.unionByName(probe)))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_of_id() % 3 == 1, F.lit(False))
+    model = langid.train(docs.filter(~held_out))
+    made = docs.select("doc_id", held_out.alias("held_out"), langid.predicted(docs, model).alias("p"))
+    return made.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    made = quality.scored(docs.select("doc_id", "text", "source", "lang", "n_chars"), model, "q")
+    keep = (F.col("q.score") >= 0.5).cast("int")
+    return made.select("doc_id", F.col("q.content").alias("content_score"), F.col("q.metadata").alias("metadata_score"), F.col("q.score").alias("score"), keep.alias("predicted"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = urlfilter.judged(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return made.select("page_id", "host", "path", "rule", "verdict", "probability")
+
+
+_ALL = (
+    op1_ann,
+    op2_toxicity,
+    op3_packed_ids,
+    op4_simhash,
+    op5_best_fit,
+    op6_chat,
+    op7_language,
+    op8_decontamination,
+    op9_quality,
+    op10_urls,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packed_ids, op4_simhash, op5_best_fit)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
