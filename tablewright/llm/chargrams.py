@@ -47,7 +47,7 @@ def words_only(text: str) -> np.ndarray:
 
 
 class WordGrams:
-    """Each word's n-grams, its borders counting as a space: ``bucket[i]`` belongs to word ``word[i]`` of ``words``."""
+    """Each word's n-grams, its borders counting as a space, and the word itself: ``bucket[i]`` belongs to word ``word[i]`` of ``words``."""
 
     def __init__(self, points: np.ndarray, orders: tuple[int, ...], bits: int):
         space = points == _SPACE
@@ -65,9 +65,16 @@ class WordGrams:
                 fine &= ~(space[: len(made)] & space[1 : 1 + len(made)])
             bucket.append(made[fine])
             word.append((number[1 : 1 + len(made)][fine] - 1).astype(np.int32))
+        letters = np.flatnonzero(~space)
+        if len(letters):
+            own = number[letters] - 1
+            mixed = (points[letters].astype(np.uint64) + ((letters - self.at[own]).astype(np.uint64) << np.uint64(21)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            whole = np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), np.searchsorted(letters, self.at)) * np.uint64(0xD6E8FEB86659FD93)
+            bucket.append((whole >> np.uint64(64 - bits)).astype(np.uint32))
+            word.append(np.arange(self.words, dtype=np.int32))
         self.bucket, self.word = np.concatenate(bucket), np.concatenate(word)
 
-    def means(self, value: np.ndarray) -> np.ndarray:
-        """For each word, the mean of ``value`` over its n-grams."""
+    def means(self, value: np.ndarray, prior: int = 0) -> np.ndarray:
+        """For each word, the mean of ``value`` over its n-grams and ``prior`` zeros."""
         total = np.bincount(self.word, value[self.bucket], self.words)
-        return total / np.maximum(1, np.bincount(self.word, minlength=self.words))
+        return total / np.maximum(1, np.bincount(self.word, minlength=self.words) + prior)

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that numpy code turns into code points at once; bounds a Python worker's memory.
 BLOCK_CHARS = 1_000_000
@@ -32,13 +32,12 @@ def shipped(df: DataFrame) -> DataFrame:
     return df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a single-machine session (as in
-    tests) gets a temporary folder of its own; a cluster without the setting is an error.
+    Where that is unset, a single-machine session (as in tests) gets a temporary folder of its own; a cluster without
+    the setting is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,6 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="tablewright-checkpoint-")
         context.setCheckpointDir(folder)
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and forget its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -60,11 +65,6 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def sample_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows: those with the smallest seeded hash of ``key`` (a bounded, repeatable training sample)."""
-    return df.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key)).limit(rows)
-
-
 def text_blocks(texts: list[str | None], most: int = BLOCK_CHARS):
     """Yield (first, last) slices of ``texts`` holding about ``most`` characters each; a longer text stands alone."""
     first, held = 0, 0

@@ -1,6 +1,6 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the mean of the vectors of its character n-grams, so an unseen misspelling shares most of its vector with the
+A word is the mean of the vectors of its character n-grams and its own, so an unseen misspelling shares most of its vector with the
 word it disguises. A window of ``WINDOW`` words is the mean of its words, classified by a linear softmax; vectors and softmax
 learn together, by Adagrad. Labels are given for documents, so each toxic document teaches by its most telling window, and
 each clean one by its most misleading window and a few others; a document's score is that of its strongest window, calibrated on
@@ -22,6 +22,8 @@ from tablewright.llm.common import shipped, text_blocks
 
 ORDERS = (3, 4, 5)
 WINDOW = 8
+#: Zero vectors that each word's mean takes in, so that words of few n-grams speak less loudly.
+PRIOR = 4
 
 
 def window_means(values: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -47,7 +49,7 @@ class Model:
             grams = WordGrams(np.concatenate(points), ORDERS, self.bits)
             if not grams.words:
                 continue
-            odds = grams.means(self.gain)
+            odds = grams.means(self.gain, PRIOR)
             edges = np.searchsorted(grams.at, np.concatenate(([0], ends)))
             for k in range(last - first):
                 if edges[k + 1] > edges[k]:
@@ -115,7 +117,7 @@ class _Bag:
         return (np.log((yes + 0.1) / (labels.sum() + 1)) - np.log((no + 0.1) / ((1 - labels).sum() + 1)))[kind]
 
 
-def fit(texts: list[str], labels: np.ndarray, bits: int = 18, size: int = 8, epochs: int = 24, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: np.ndarray, bits: int = 18, size: int = 8, epochs: int = 48, rate: float = 2.0, floor: float = 2e-2, seed: int = 7) -> Model:
     """Train on whole texts with labels 0 and 1."""
     labels = np.asarray(labels, dtype=np.int64)
     if len(set(labels.tolist())) < 2:
@@ -133,13 +135,14 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = 18, size: int = 8, epo
     embed = (rng.random((1 << bits, size), dtype=np.float32) - 0.5) / size
     soft = np.zeros((size, 2), np.float32)
     bias = np.zeros(2, np.float32)
-    sums = [np.full_like(embed, 1e-4), np.full_like(soft, 1e-4), np.full_like(bias, 1e-4)]
+    sums = [np.full_like(embed, floor), np.full_like(soft, 1e-4), np.full_like(bias, 1e-4)]
     telling = bag.telling(y)
-    counts = np.maximum(1, np.diff(bag.cut))
-    every = np.repeat(np.arange(len(counts)), np.diff(bag.cut))
+    grams = np.diff(bag.cut)
+    counts = grams + PRIOR
+    every = np.repeat(np.arange(len(counts)), grams)
 
     for epoch in range(epochs):
-        if epoch % 4 == 0:
+        if epoch % 2 == 0:
             if epoch:
                 gain = embed @ (soft[:, 1] - soft[:, 0])
                 word_odds = np.bincount(every, gain[bag.bucket], len(counts)) / counts
@@ -148,8 +151,12 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = 18, size: int = 8, epo
             starts, owner = [], []
             for d in use:
                 lo, n = first[d], last[d] - first[d]
-                most = int(window_means(word_odds[lo : last[d]]).argmax())
-                picks = [most] if y[d] else [most, *rng.integers(0, max(1, n - WINDOW + 1), 3).tolist()]
+                means = window_means(word_odds[lo : last[d]])
+                most = int(means.argmax())
+                picks = [most]
+                if not y[d]:
+                    means[max(0, most - WINDOW) : most + WINDOW] = -np.inf
+                    picks += [int(means.argmax()), *rng.integers(0, max(1, n - WINDOW + 1), 2).tolist()]
                 starts += [lo + p for p in picks]
                 owner += [d] * len(picks)
             starts, owner = np.array(starts), np.array(owner)
@@ -170,10 +177,10 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = 18, size: int = 8, epo
         touched, at = np.unique(bucket, return_inverse=True)
         grad = np.stack([np.bincount(at, back[to, k] * share, len(touched)) for k in range(size)], 1).astype(np.float32)
         sums[0][touched] += grad**2
-        embed[touched] -= 0.3 * grad / np.sqrt(sums[0][touched])
+        embed[touched] -= rate * grad / np.sqrt(sums[0][touched])
         for value, g, total in ((soft, mean.T @ error, sums[1]), (bias, error.sum(axis=0), sums[2])):
             total += g**2
-            value -= 0.3 * g / np.sqrt(total)
+            value -= rate * g / np.sqrt(total)
         if epoch == 0 and not soft.any():
             soft[:, 1] = 0.5
     made = Model((embed @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), 1.0, 0.0, bits)
