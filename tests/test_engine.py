@@ -1,0 +1,112 @@
+import pytest
+
+from tablewright.plans import plotspec
+from tablewright.plans.cache import Cache, request_key
+from tablewright.plans.engine import Engine
+from tablewright.plans.errors import BadRequest, NotFound
+from tablewright.sources.adapters import corpus
+from tablewright.sources.catalog import Catalog
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def root(spark, tmp_path_factory):
+    top = tmp_path_factory.mktemp("tree")
+    docs = corpus(spark.read.parquet(f"{SMALL}/documents.parquet"), "doc_id", "text", "source")
+
+    def put(df, *parts):
+        folder = top.joinpath(*parts[:-1])
+        folder.mkdir(parents=True, exist_ok=True)
+        df.coalesce(1).toPandas().to_parquet(folder / parts[-1])
+
+    put(docs, "a", "original", "v1.9.0", "a.parquet")
+    put(docs.limit(50).withColumnRenamed("source", "origin"), "a", "original", "v1.10.0", "a.parquet")
+    (top / "a/original/v2.0.0").mkdir()
+    (top / "a/empty_variant").mkdir()
+    put(docs.limit(5), "b", "original", "v1.0.0", "other.parquet")
+    put(docs.limit(5), "c", "original", "v1.0.0", "c.parquet")
+    put(docs.limit(6), "c", "original", "v1.0.0", "d.parquet")
+    return top
+
+
+def test_catalogue(spark, root):
+    catalog = Catalog(spark, str(root))
+    assert catalog.ready() and [d.slug for d in catalog.datasets()] == ["a", "b", "c"]
+    assert [v.variant for v in catalog.dataset("a").variants] == ["original"]
+    assert [(v.version, v.row_count) for v in catalog.versions("a", "original")] == [("v1.9.0", 200), ("v1.10.0", 50)]
+    assert catalog.latest("a").version == "v1.10.0"
+    one = catalog.version("a", "original", "v1.9.0")
+    assert one.file.size_bytes == (root / "a/original/v1.9.0/a.parquet").stat().st_size
+    assert ("text", "string") in [(c.name, c.dtype) for c in one.file_schema]
+    assert catalog.frame().count() == 4
+    assert catalog.drift("a") == [("v1.9.0", "v1.10.0", ["origin", "source"])]
+    for call in (lambda: catalog.dataset("z"), lambda: catalog.versions("a", "z"), lambda: catalog.version("a", "original", "z"), lambda: catalog.file_path("b", "original", "v1.0.0")):
+        with pytest.raises(NotFound):
+            call()
+    for name in ("../../x", "..", "x/y", ""):
+        with pytest.raises(BadRequest):
+            catalog.file_path("a", name, "v1.9.0")
+    with pytest.raises(BadRequest):
+        Catalog(spark, str(root), strict=True).datasets()
+    assert Catalog(spark, str(root / "none")).datasets() == [] and not Catalog(spark, str(root / "none")).ready()
+
+
+def test_engine(spark, root):
+    engine = Engine(spark, str(root))
+    assert engine.health()["status"] == "ok" and engine.readiness()["status"] == "ok"
+    got = engine.analyse("a", "v1.9.0", [{"op": "row_count"}, {"op": "max", "column": "token_count"}], filters=[{"any": 1}])
+    assert got["columns"] == {"_row_count": {"sum": 200}, "token_count": {"max": 2933}}
+    assert engine.cached(got["key"]) is got and engine.analyse("a", "v1.9.0", [{"op": "row_count"}, {"op": "max", "column": "token_count"}], filters=[{"any": 1}]) is got
+    assert len(engine.preview("a", "v1.9.0")) == 5
+    report = engine.quality("a", "v1.9.0")
+    assert report["row_count"] == 200 and report["duplicate_texts"] == 11 and report["token_outliers"]["p99_tokens"] == 2241
+    assert report["html_code_log"]["code_like"] == 8 and report["repetition"]["sample_count"] == 8 and report["quality_grade"]
+    assert engine.cached(report["key"]) is report and engine.quality("a", "v1.9.0") is report
+    with pytest.raises(NotFound):
+        engine.analyse("b", "v1.0.0", [{"op": "row_count"}])
+    assert {d["slug"] for d in engine.datasets()} == {"a", "b", "c"} and engine.dataset("a")["slug"] == "a"
+    assert len(engine.versions("a", "original")) == 2 and engine.version("a", "original", "v1.9.0")["row_count"] == 200
+
+
+def test_plots(spark, root):
+    engine = Engine(spark, str(root))
+    spec = engine.plot("a", "v1.9.0", [{"op": "histogram", "column": "token_count", "bins": 20}])
+    assert sum(r["count"] for r in spec["data"]["values"]) == 200 and spec["encoding"]["x"]["scale"] == {"type": "log"}
+    assert sum(r["count"] for r in engine.plot("a", "v1.9.0", [{"op": "linear_histogram", "column": "token_count"}])["data"]["values"]) == 200
+    assert engine.plot("a", "v1.9.0", [{"op": "boxplot", "column": "token_count"}])["data"]["values"][0]["max"] == 2933
+    for bad in ([], [{"op": "pie", "column": "token_count"}], [{"op": "histogram"}], [{"op": "histogram", "column": "text"}]):
+        with pytest.raises(BadRequest):
+            engine.plot("a", "v1.9.0", bad)
+
+
+def test_changed_file_is_read_anew(spark, tmp_path):
+    folder = tmp_path / "x/original/v1"
+    folder.mkdir(parents=True)
+    engine = Engine(spark, str(tmp_path))
+    for n in (3, 8):
+        spark.range(n).toPandas().to_parquet(folder / "x.parquet")
+        spark.catalog.clearCache()
+        assert engine.analyse("x", "v1", [{"op": "row_count"}])["columns"]["_row_count"]["sum"] == n
+
+
+def test_cache():
+    now = [0.0]
+    cache = Cache(10, clock=lambda: now[0])
+    cache.set("a", 1)
+    cache.set("b", None)
+    assert cache.get("a") == 1 and cache.has("b") and len(cache) == 2
+    now[0] = 11
+    assert cache.sweep() == 2 and cache.get("a") is None and not cache.delete("a")
+    forever = Cache(None, clock=lambda: now[0])
+    forever.set("a", 1)
+    now[0] = 1e9
+    assert forever.has("a") and forever.delete("a")
+    forever.clear()
+    assert request_key({"a": 1, "b": 2}) == request_key({"b": 2, "a": 1}) != request_key({"a": 1, "b": 3})
+
+
+def test_ticks():
+    assert plotspec.log_ticks(1, 100000)[0] == 1 and plotspec.log_ticks(1, 100000)[-1] == 100000
+    assert plotspec.count_ticks(11) == [0, 2, 4, 6, 8, 10] and plotspec.count_ticks(3) == [0, 1, 2, 3]
+    assert [plotspec.short(n) for n in (999, 12345, 1234567)] == ["999", "12k", "1M"]

@@ -1,0 +1,106 @@
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablewright.functions import language, repetition, text as X
+from tablewright.operators import quality
+
+# text, code, html, log, repeated
+TEXTS = [
+    ("function (x)", True, False, False, False),
+    ("foo(a) {", True, False, False, False),
+    ("a = b", True, False, False, False),
+    ("a == b", False, False, False, False),
+    ("a ==", False, False, False, False),
+    ("a=", False, False, False, False),
+    ("if (x", True, False, False, False),
+    ("end;\n next", True, False, False, False),
+    ("see http://x", True, False, False, False),
+    ("#", True, False, False, False),
+    ("/* a\nb */", False, False, False, False),
+    ("we try it", True, False, False, False),
+    ("retry", False, False, False, False),
+    ("'a'.join(", True, False, False, False),
+    ("plain words", False, False, False, False),
+    ("<b>x</b>", False, True, False, False),
+    ("a < b > c", False, True, False, False),
+    ("<a\nb>", False, True, False, False),
+    ("<>", False, False, False, False),
+    ("2024-01-01 00:00:00", False, False, True, False),
+    ("2024-01-01T00:00:00", False, False, False, False),
+    ("go go go go go", False, False, False, True),
+    ("go go go go", False, False, False, False),
+    ("Go gO go GO go", False, False, False, True),
+    ("go, go, go, go, go", False, False, False, False),
+    ("x-go go go go go!", False, False, False, True),
+    ("gogo go go go go", False, False, False, False),
+    ("go go go go gone", False, False, False, False),
+    ("go\ngo\tgo  go go", False, False, False, True),
+    ("é é é é é", False, False, False, True),
+]
+
+
+def test_likeness_of_texts(spark):
+    df = spark.createDataFrame([(k, t[0]) for k, t in enumerate(TEXTS)], "k int, text string")
+    c = F.col("text")
+    got = {r[0]: tuple(r[1:]) for r in df.select("k", X.is_code(c), X.is_html(c), X.is_log(c), repetition.repeats(c)).collect()}
+    for k, (text, *want) in enumerate(TEXTS):
+        assert got[k] == tuple(want), text
+
+
+def test_repeats_agree_with_python(spark):
+    pattern = re.compile(r"\b(\w+)(?:\s+\1){4,}\b", re.IGNORECASE)
+    rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [t[0] for t in TEXTS]
+    df = spark.createDataFrame([(t,) for t in rows], "text string").select("text", repetition.repeats(F.col("text")).alias("r"))
+    assert all(r.r == bool(pattern.search(r.text)) for r in df.collect())
+
+
+def test_null_text(spark):
+    df = spark.createDataFrame([(None,)], "text string")
+    c = F.col("text")
+    assert df.select(X.is_code(c), X.is_html(c), X.non_alpha_ratio(c), repetition.repeats(c), language.detected(c)).first()[:] == (None, None, None, False, "unknown")
+
+
+@pytest.mark.parametrize(
+    "text,damage,ratio",
+    [
+        ("a�b�", (2, 0, 0), 2 / 4),
+        ("Ã x Â~ Ã¦", (0, 2, 0), 8 / 9),
+        ("\x00\t\n\x0b\x1f", (0, 0, 3), 1.0),
+        ("æøå", (0, 0, 0), 0.0),
+        ("é1 ", (0, 0, 0), 1.0),
+        ("", (0, 0, 0), 0.0),
+    ],
+)
+def test_damage_and_letters(spark, text, damage, ratio):
+    row = spark.createDataFrame([(text,)], "text string").agg(*quality.text_measures(F.col("text"))).first()
+    assert (row.replacement_char, row.mojibake, row.control_chars) == damage
+    assert row.non_alpha_ratio == pytest.approx(ratio)
+
+
+WILSON = [
+    (18, 1000, 1000, 0.011415646, 0.028273484, 18, (11, 28)),
+    (0, 100, 100, 0.0, 0.036994807, 0, (0, 4)),
+    (100, 100, 100, 0.963005193, 1.0, 100, (96, 100)),
+    (5, 10000, 250000, 0.000213585, 0.001170043, 125, (53, 293)),
+    (1, 2, 5, 0.094528655, 0.905471345, 2, (0, 5)),
+    (0, 0, 0, 0.0, 0.0, 0, (0, 0)),
+]
+
+
+def test_wilson(spark):
+    df = spark.createDataFrame([w[:3] for w in WILSON], "k long, n long, t long")
+    got = {(r.k, r.n, r.t): r.w for r in df.select("*", repetition.wilson(F.col("k"), F.col("n"), F.col("t")).alias("w")).collect()}
+    for k, n, t, low, high, total, ends in WILSON:
+        w = got[k, n, t]
+        assert (w.lower, w.upper) == (pytest.approx(low, abs=1e-8), pytest.approx(high, abs=1e-8))
+        assert (w.estimate_total, w.ci_low, w.ci_high) == (total, *ends)
+        assert not math.isnan(w.sample_prop)
+
+
+def test_language(spark):
+    rows = [("the cat and the dog", "en"), ("le chat et les chiens", "fr"), ("der Hund und die Katze", "de"), ("el perro y los gatos", "es"), ("xyz", "unknown"), ("", "unknown")]
+    df = spark.createDataFrame(rows, "text string, want string").withColumn("got", language.detected(F.col("text")))
+    assert all(r.got == r.want for r in df.collect())
