@@ -124,7 +124,7 @@ def neighbours(
     sample = groups.select("id", "v").orderBy(F.xxhash64(F.lit("forest"), "id")).limit(fit_rows).collect()
     depth = max(0, int(np.ceil(np.log2(max(1, n / leaf_rows)))))
     depth = min(depth, int(np.log2(max(1, len(sample) / 4))))
-    taught = np.array([r["v"] for r in sorted(sample, key=lambda r: r["id"])], dtype=np.float64).reshape(len(sample), -1)
+    taught = np.array([r["v"] for r in sorted(sample, key=lambda r: r["id"])], dtype=np.float64).reshape(len(sample), len(sample[0]["v"]) if sample else 1)
     forest = Forest.fit(taught, trees if depth else 1, depth, seed)
     splits = max(1, int(np.ceil(n / (1 << depth) / leaf_most)))
     sent = rows.sparkSession.sparkContext.broadcast((forest.directions, forest.thresholds))
@@ -142,8 +142,10 @@ def neighbours(
     def ask(frames):
         own = Forest(*sent.value)
         for frame in frames:
+            if not len(frame):
+                continue
             tree, leaf, query, q = [], [], [], []
-            for query_id, v, vector_ in zip(frame["id"], frame["v"], _matrix(frame["v"]) if len(frame) else [], strict=True):
+            for query_id, v, vector_ in zip(frame["id"], frame["v"], _matrix(frame["v"]), strict=True):
                 for t, node in own.search(vector_, probes):
                     tree.append(t)
                     leaf.append(node)

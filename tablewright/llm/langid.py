@@ -76,7 +76,8 @@ def train(labelled: DataFrame, bits: int = 16, rows_per_language: int = 1500) ->
                 total = held.setdefault(lang, np.zeros(1 << bits, np.uint32))
                 for made in features(text, bits):
                     total += np.bincount(made, minlength=1 << bits).astype(np.uint32)
-        yield pd.DataFrame({"lang": list(held), "counts": [zlib.compress(x.tobytes(), 1) for x in held.values()]})
+        if held:
+            yield pd.DataFrame({"lang": list(held), "counts": [zlib.compress(x.tobytes(), 1) for x in held.values()]})
 
     totals = np.zeros((len(languages), 1 << bits))
     for r in chosen.mapInPandas(count, "lang string, counts binary").toLocalIterator():

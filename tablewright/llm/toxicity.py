@@ -58,7 +58,10 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         top = self.strongest(texts)
-        return np.where(np.isfinite(top), _sigmoid(self.scale * top + self.shift), 0.0)
+        has_words = np.isfinite(top)
+        if np.isinf(self.shift):  # one class is all that the labels showed
+            return has_words * float(self.shift > 0)
+        return np.where(has_words, _sigmoid(self.scale * np.where(has_words, top, 0.0) + self.shift), 0.0)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -122,7 +125,7 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = 18, size: int = 8, epo
     labels = np.asarray(labels, dtype=np.int64)
     if len(set(labels.tolist())) < 2:
         only = float(labels[0]) if len(labels) else 0.0
-        return Model(np.zeros(1 << bits, np.float32), 0.0, 0.0, 500.0 if only else -500.0, bits)
+        return Model(np.zeros(1 << bits, np.float32), 0.0, 0.0, np.inf if only else -np.inf, bits)
     rng = np.random.default_rng(seed)
     apart = rng.random(len(texts)) < 0.3
     if len(set(labels[~apart].tolist())) < 2 or len(set(labels[apart].tolist())) < 2:
