@@ -2,9 +2,11 @@
 
 Each tree splits at a random direction for each level, at the median of a bounded sample (``fit_rows``) at each node; the driver holds
 directions and medians only, and broadcasts them. Every row is then dealt to its leaf of each tree. A query walks all trees through one
-priority queue, always going on at the node whose splits it is least on the wrong side of, until it has ``probes`` leaves. Rows and queries meet by leaf,
-where exact distances rank the candidates; the best of each leaf are merged. Leaves larger than ``leaf_most`` rows on average are split evenly over tasks,
-to each of which the query goes.
+priority queue, always going on at the node whose splits it is least on the wrong side of, until it has enough leaves. How many those are is measured:
+on the sample, whose own nearest neighbours are known by brute force, as many as reach ``target`` of them. The sample is sparser than the table and its
+neighbours further away, so the table's recall is no lower; data in clusters need few leaves, data without structure many. Rows and queries meet by leaf, where
+exact distances rank the candidates; the best of each leaf are merged. Leaves larger than ``leaf_most`` rows on average are split evenly over tasks, to each of
+which the query goes.
 
 Equal vectors count once in the forest (no split could part them); each stands for its ``k + 1`` smallest ids, all that a list of ``k`` can need.
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.llm.common import cut, shipped
@@ -62,19 +64,33 @@ class Forest:
 
     def search(self, vector: np.ndarray, probes: int) -> list[tuple[int, int]]:
         """The first ``probes`` (tree, leaf) that one queue over all trees reaches."""
-        shadow = self.directions @ vector
+        shadow = (self.directions @ vector).tolist()
+        thresholds = self.thresholds
         queue = [(0.0, t, 0, 0) for t in range(self.trees)]
         found = []
         while queue and len(found) < probes:
             cost, t, level, node = heapq.heappop(queue)
             while level < self.depth:
-                margin = shadow[t, level] - self.thresholds[t, (1 << level) - 1 + node]
+                margin = shadow[t][level] - thresholds[t, (1 << level) - 1 + node]
                 near = int(margin > 0)
                 heapq.heappush(queue, (max(cost, abs(margin)), t, level + 1, 2 * node + 1 - near))
                 node, level = 2 * node + near, level + 1
             found.append((t, node))
         return found
 
+    def probes_for(self, sample: np.ndarray, k: int, target: float, queries: int = 64) -> int:
+        """Leaves to visit so that ``target`` of the k nearest neighbours within ``sample`` are met."""
+        leaf, needed = self.leaves(sample), []
+        for own in np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int):
+            score = ((sample - sample[own]) ** 2).sum(axis=1)
+            score[own] = np.inf
+            near = np.argsort(score, kind="stable")[: min(k, len(sample) - 1)]
+            order = np.full((self.trees, 1 << self.depth), 1 << 60)
+            for place, (t, node) in enumerate(self.search(sample[own], self.trees << self.depth)):
+                order[t, node] = place + 1
+            needed += order[np.arange(self.trees)[:, None], leaf[near].T].min(axis=0).tolist()
+        return int(np.quantile(needed, target, method="higher")) if needed else 1
+
 
 def usable(rows: DataFrame, id_: str, vector: str) -> DataFrame:
     """(id, v): one row for each id with a vector that takes part."""
@@ -86,19 +102,31 @@ def usable(rows: DataFrame, id_: str, vector: str) -> DataFrame:
     return kept.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Arrays of equal length as lines of a float64 matrix."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
 
+def _closest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
+    """For each query, the places of its k nearest rows and their exact distances; ties to the smaller id.
 
-def _closest(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest of ``rows`` (id, v) for each query (query_id, q), by exact distance."""
-    every, ids = _matrix(rows["v"]), rows["id"].to_numpy()
-    out = []
-    for query_id, q in zip(queries["query_id"], _matrix(queries["q"]), strict=True):
-        score = np.sqrt(((every - q) ** 2).sum(axis=1))
-        best = np.lexsort((ids, score))[:k]
-        out.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "score": score[best]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+    Distances by matrix product find all that may be among the k, with room for rounding; exact ones rank those.
+    """
+    length = (rows**2).sum(axis=1)
+    step = max(1, 4_000_000 // max(1, len(rows)))
+    for lo in range(0, len(queries), step):
+        part = queries[lo : lo + step]
+        own = (part**2).sum(axis=1)
+        rough = own[:, None] + length[None] - 2 * part @ rows.T
+        slack = 1e-9 * (own + length.max(initial=0.0))
+        for q, line, room in zip(part, rough, slack, strict=True):
+            at = np.arange(len(rows))
+            if len(rows) > k and np.isfinite(line).all():
+                at = np.flatnonzero(line <= np.partition(line, k - 1)[k - 1] + room)
+            score = np.sqrt(((rows[at] - q) ** 2).sum(axis=1))
+            best = np.lexsort((ids[at], score))[:k]
+            yield at[best], score[best]
 
 
 def neighbours(
@@ -107,11 +135,11 @@ def neighbours(
     k: int = 10,
     id_: str = "vec_id",
     vector: str = "embedding",
-    trees: int = 10,
-    probes: int = 60,
-    leaf_rows: int = 200,
+    trees: int = 6,
+    target: float = 0.97,
+    leaf_rows: int = 400,
     leaf_most: int = 4000,
-    fit_rows: int = 20_000,
+    fit_rows: int = 10_000,
     seed: int = 1,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of each row whose id satisfies ``is_query`` (a function of the id column)."""
@@ -121,47 +149,54 @@ def neighbours(
     first = each.withColumn("n", F.row_number().over(by_vector)).filter(F.col("n") <= k + 1)
     groups = cut(first.groupBy("v").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("members")))
     n = groups.count()
-    sample = groups.select("id", "v").orderBy(F.xxhash64(F.lit("forest"), "id")).limit(fit_rows).collect()
+    sample = groups.select("id", "v").orderBy(F.xxhash64(F.lit("forest"), "id")).limit(fit_rows).toArrow().sort_by("id")
+    taught = _matrix(sample["v"]) if len(sample) else np.zeros((0, 1))
     depth = max(0, int(np.ceil(np.log2(max(1, n / leaf_rows)))))
-    depth = min(depth, int(np.log2(max(1, len(sample) / 4))))
-    taught = np.array([r["v"] for r in sorted(sample, key=lambda r: r["id"])], dtype=np.float64).reshape(len(sample), len(sample[0]["v"]) if sample else 1)
+    depth = min(depth, int(np.log2(max(1, len(taught) / 8))))
     forest = Forest.fit(taught, trees if depth else 1, depth, seed)
+    probes = forest.probes_for(taught, k, target)
     splits = max(1, int(np.ceil(n / (1 << depth) / leaf_most)))
     sent = rows.sparkSession.sparkContext.broadcast((forest.directions, forest.thresholds))
     kind = each.schema["v"].dataType.simpleString()
 
-    def deal(frames):
+    def deal(batches):
         own = Forest(*sent.value)
-        for frame in frames:
-            if not len(frame):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            leaf = own.leaves(_matrix(frame["v"]))
+            ids, v = batch.column(0), batch.column(1)
+            leaf, part = own.leaves(_matrix(v)), pa.array(ids.to_numpy() % splits)
             for t in range(own.trees):
-                yield pd.DataFrame({"tree": t, "leaf": leaf[:, t], "part": frame["id"] % splits, "id": frame["id"], "v": frame["v"]})
+                tree = pa.array(np.full(batch.num_rows, t, np.int32))
+                yield pa.RecordBatch.from_arrays([tree, pa.array(leaf[:, t]), part, ids, v], names=["tree", "leaf", "part", "id", "v"])
 
-    def ask(frames):
+    def ask(batches):
         own = Forest(*sent.value)
-        for frame in frames:
-            if not len(frame):
-                continue
-            tree, leaf, query, q = [], [], [], []
-            for query_id, v, vector_ in zip(frame["id"], frame["v"], _matrix(frame["v"]), strict=True):
-                for t, node in own.search(vector_, probes):
-                    tree.append(t)
-                    leaf.append(node)
-                    query.append(query_id)
-                    q.append(v)
-            yield pd.DataFrame({"tree": tree, "leaf": leaf, "query_id": query, "q": q})
-
-    def meet(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        return _closest(asked, members, k + 1) if len(members) else _closest(asked[:0], members, k)
+        for batch in batches:
+            for k_, q in enumerate(_matrix(batch.column(1)) if batch.num_rows else []):
+                tree, leaf = np.array(own.search(q, probes)).T
+                again = pa.array(np.full(len(tree), k_))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tree.astype(np.int32)), pa.array(leaf), batch.column(0).take(again), batch.column(1).take(again)],
+                    names=["tree", "leaf", "query_id", "q"],
+                )
+
+    result = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def meet(members: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(members) or not len(asked):
+            return result.empty_table()
+        ids, queries = members["id"].to_numpy(), asked["query_id"].to_numpy()
+        found = list(_closest(_matrix(asked["q"]), _matrix(members["v"]), ids, k + 1))
+        at, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table([np.repeat(queries, [len(x) for x, _ in found]), ids[at], score], schema=result)
 
     queries = each.filter(is_query(F.col("id")))
-    dealt = groups.select("id", "v").mapInPandas(deal, f"tree int, leaf long, part long, id long, v {kind}")
-    asked = queries.mapInPandas(ask, f"tree int, leaf long, query_id long, q {kind}")
+    dealt = groups.select("id", "v").mapInArrow(deal, f"tree int, leaf long, part long, id long, v {kind}")
+    asked = queries.select("id", "v").mapInArrow(ask, f"tree int, leaf long, query_id long, q {kind}")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))))
     key = ["tree", "leaf", "part"]
-    met = dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(meet, "query_id long, id long, score double")
+    met = dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(meet, "query_id long, id long, score double")
     nearest = Window.partitionBy("query_id").orderBy("score", "id")
     best = met.distinct().withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k + 1).drop("n")
     whole = best.join(groups.select("id", "members"), "id").select("query_id", "score", F.explode("members").alias("id"))
