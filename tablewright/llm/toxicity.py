@@ -120,8 +120,8 @@ class _Bag:
         return (np.log((yes + 0.1) / (labels.sum() + 1)) - np.log((no + 0.1) / ((1 - labels).sum() + 1)))[kind]
 
 
-def fit(texts: list[str], labels: np.ndarray, bits: int = 18, size: int = 8, epochs: int = 48, rate: float = 2.0, floor: float = 2e-2, seed: int = 7) -> Model:
-    """Train on whole texts with labels 0 and 1."""
+def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, bits: int = 18, size: int = 8, epochs: int = 48, rate: float = 2.0, floor: float = 2e-2, seed: int = 7) -> Model:
+    """Train on whole texts with labels 0 and 1; ``prior`` is the toxic share where the texts come from, if they were chosen by label."""
     labels = np.asarray(labels, dtype=np.int64)
     if len(set(labels.tolist())) < 2:
         only = float(labels[0]) if len(labels) else 0.0
@@ -191,22 +191,26 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = 18, size: int = 8, epo
     top = made.strongest([texts[k] for k in checked])
     fine = np.isfinite(top)
     made.scale, made.shift = _platt(top[fine], labels[checked][fine])
+    if prior is not None and 0 < prior < 1:
+        shown = labels[checked][fine].mean()
+        made.shift += float(np.log(prior / (1 - prior)) - np.log(shown / (1 - shown)))
     return made
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, clean_rows: int = 2000, most_chars: int = 8000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 3000, most_chars: int = 8000) -> Model:
     """A model from labelled documents: at most so many rows of each class, none longer than ``most_chars``.
 
     ``docs`` (doc_id, text) holds the documents that may teach, ``labels`` (doc_id, toxic) their labels.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit("sample"), "doc_id")
+    prior = docs.select("doc_id").join(known, "doc_id").agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
     ids = docs.filter(F.length("text") <= most_chars).select("doc_id").join(known, "doc_id")
     chosen = ids.filter("toxic > 0").orderBy(order).limit(toxic_rows).unionByName(ids.filter("toxic <= 0").orderBy(order).limit(clean_rows))
     few = chosen.dropDuplicates(["doc_id"])
     rows = docs.filter(F.length("text") <= most_chars).select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
     taught = sorted(rows.limit(toxic_rows + clean_rows).collect(), key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in taught], np.array([int(r["toxic"] > 0) for r in taught], dtype=np.int64))
+    return fit([r["text"] for r in taught], np.array([int(r["toxic"] > 0) for r in taught], dtype=np.int64), prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
