@@ -234,11 +234,16 @@ def near_components(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFra
     return made.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+#: Most bytes of exceptions that one_of_each sends to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
 def one_of_each(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFrame:
     """Rows of ``docs``, all columns as they are: of each component the row with its smallest doc_id.
 
     Of several rows with that id, those of another fingerprint go, and one of the rest stays. A component of null ids
-    keeps one row too.
+    keeps one row too. Ids with one row that stays are the rule; while the other ids are few (``BROADCAST_BYTES``), they are broadcast and no text
+    is shuffled, else texts and ids are joined by shuffle.
     """
     made, named = _rooted(docs, most, shingle)
     n, kept, fp, rank = (private(x) for x in ("n", "kept", "fp", "rank"))
@@ -246,23 +251,24 @@ def one_of_each(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFrame:
     chosen = chosen.select(F.col("s.least").alias("doc_id"), F.col("s.fp").alias("fp"), F.lit(1).alias("c"))
     rows = made.groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
     marked = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["fp"] == chosen["fp"]), "left")
-    per_id = (
-        marked.groupBy(rows["doc_id"].alias("id"))
-        .agg(F.sum("n").alias(n), F.collect_list(F.when(F.col("c") == 1, rows["fp"])).alias(kept))
-        .filter(F.size(kept) > 0)
+    id_, null = private("id"), private("null")
+    per_id = marked.groupBy(F.coalesce(rows["doc_id"], F.lit(0)).alias(id_), rows["doc_id"].isNull().alias(null)).agg(
+        F.sum("n").alias(n), F.collect_list(F.when(F.col("c") == 1, rows["fp"])).alias(kept)
     )
+    odd = cut(per_id.filter((F.col(n) > 1) | (F.size(kept) != 1)))
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), null: F.col("doc_id").isNull()})
+    size = odd.agg(F.coalesce(F.sum(F.lit(40) + 8 * F.size(kept)), F.lit(0)), F.count_if((F.col(n) > 1) & (F.size(kept) > 0))).first()
+    sent = F.broadcast if size[0] <= BROADCAST_BYTES else lambda df: df
+    plain = keyed.join(sent(odd.select(id_, null)), [id_, null], "left_anti").select(*docs.columns)
+    if not size[1]:
+        return plain
 
     @F.pandas_udf("long")
     def again(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    id_, null = private("id"), private("null")
-    joined = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-    joined = joined.join(
-        per_id.select(F.coalesce("id", F.lit(0)).alias(id_), F.col("id").isNull().alias(null), n, kept),
-        [id_],
-    ).filter(F.col(null) == F.col("doc_id").isNull())
-    several = joined.withColumn(fp, again(F.when(F.col(n) > 1, F.col("text").cast("string"))))
-    several = several.filter((F.col(n) == 1) | F.array_contains(kept, F.col(fp)))
+    several = keyed.join(sent(odd.filter((F.col(n) > 1) & (F.size(kept) > 0))), [id_, null])
+    several = several.withColumn(fp, again(F.col("text").cast("string"))).filter(F.array_contains(kept, F.col(fp)))
     order = Window.partitionBy(id_, null, fp).orderBy(F.xxhash64("text"))
-    return several.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*docs.columns)
+    one = several.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1)
+    return plain.unionByName(one.select(*docs.columns))
