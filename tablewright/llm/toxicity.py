@@ -84,6 +84,7 @@ class _Bag:
     """Training texts as n-gram buckets by word."""
 
     def __init__(self, texts: list[str], bits: int):
+        self.bits = bits
         self.first, self.last, self.bucket, self.word_at = [], [], [], [0]
         words = 0
         grams_before = 0
@@ -107,10 +108,18 @@ class _Bag:
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return self.bucket[self.cut[words][index] + place], index
 
+    def summed(self, value: np.ndarray) -> np.ndarray:
+        """For each word, the sum of ``value`` over its buckets, made in parts that keep memory small."""
+        parts, words = [np.empty(0, value.dtype)], len(self.cut) - 1
+        for lo in range(0, words, 200_000):
+            cut = self.cut[lo : min(lo + 200_000, words) + 1]
+            parts.append(np.add.reduceat(value[self.bucket[cut[0] : cut[-1]]], cut[:-1] - cut[0]))
+        return np.concatenate(parts)
+
     def telling(self, labels: np.ndarray) -> np.ndarray:
         """Each word's log ratio of document frequencies (toxic to clean), by a hash of its n-grams."""
-        mixed = (self.bucket.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        total = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), self.cut[:-1]) if len(self.cut) > 1 else np.empty(0, np.uint64)
+        mixed = np.random.default_rng(0).integers(0, 1 << 63, 1 << self.bits, dtype=np.uint64)
+        total = self.summed(mixed)
         _, kind = np.unique(total, return_inverse=True)
         doc = np.repeat(np.arange(len(labels)), np.array(self.last) - np.array(self.first))
         pair = np.unique(kind.astype(np.int64) * len(labels) + doc)
@@ -142,13 +151,12 @@ def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, bits:
     telling = bag.telling(y)
     grams = np.diff(bag.cut)
     counts = grams + PRIOR
-    every = np.repeat(np.arange(len(counts)), grams)
 
     for epoch in range(epochs):
         if epoch % 2 == 0:
             if epoch:
                 gain = embed @ (soft[:, 1] - soft[:, 0])
-                word_odds = np.bincount(every, gain[bag.bucket], len(counts)) / counts
+                word_odds = bag.summed(gain) / counts
             else:
                 word_odds = telling
             starts, owner = [], []
