@@ -8,7 +8,6 @@ from collections.abc import Sequence
 SCHEMA = "https://vega.github.io/schema/vega-lite/v5.json"
 #: Size of a chart, and ticks along x.
 WIDTH, HEIGHT, TICKS = 450, 250, 6
-_SHORT = "datum.value >= 1e6 ? datum.value / 1e6 + 'M' : datum.value >= 1e3 ? datum.value / 1e3 + 'k' : datum.value"
 
 
 def short(n: int) -> str:
@@ -33,7 +32,7 @@ def count_ticks(most: int) -> list[int]:
 
 
 def _axis(values: list[int], **more) -> dict:
-    return {"values": values, "labelExpr": _SHORT, "gridColor": "white", **more}
+    return {"values": values, "format": "~s", "gridColor": "white", **more}
 
 
 def log_histogram(rows: Sequence, column: str, dataset: str, low: float, high: float) -> dict:
