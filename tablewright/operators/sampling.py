@@ -51,3 +51,9 @@ def preview(df: DataFrame, n: int = PREVIEW_ROWS, seed: int = 0) -> DataFrame:
         F.col("token_count").cast("long").alias("token_count"),
         metadata.alias("metadata"),
     ).orderBy("id")
+
+
+def extremes(df: DataFrame, n: int = PREVIEW_ROWS, by: str = "token_count", longest: bool = True, tie: str = "id") -> DataFrame:
+    """The ``n`` rows with the most (or fewest) ``by``, nulls last, equal ones by ``tie``; a top-n per task and one merge."""
+    order = F.desc_nulls_last(by) if longest else F.asc_nulls_last(by)
+    return df.orderBy(order, F.asc_nulls_last(tie)).limit(n)

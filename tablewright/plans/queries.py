@@ -403,6 +403,16 @@ def sample_exact_n(spark, sf_dir):
     return sampling.exact_sample(table(spark, sf_dir, "orders"), 100, seed=1).distinct().agg(F.count(F.lit(1)).alias("rows"))
 
 
+@registered(f"SELECT CAST(doc_id AS VARCHAR) AS id, {_TOKENS} AS token_count FROM documents ORDER BY token_count DESC, id LIMIT 20")
+def longest_texts(spark, sf_dir):
+    return sampling.extremes(documents(spark, sf_dir).select("id", "token_count"), 20)
+
+
+@registered(f"SELECT CAST(doc_id AS VARCHAR) AS id, {_TOKENS} AS token_count FROM documents ORDER BY token_count, id LIMIT 20")
+def shortest_texts(spark, sf_dir):
+    return sampling.extremes(documents(spark, sf_dir).select("id", "token_count"), 20, longest=False)
+
+
 @registered("SELECT date_trunc('day', ts) AS start, count(*) AS rows, round(sum(value), 6) AS total FROM events GROUP BY 1")
 def event_trend(spark, sf_dir):
     return trend(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 6))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, types as T
 
 from tablewright.operators import histogram, profile, quality, sampling, tokens
 from tablewright.plans.errors import BadRequest
+from tablewright.sources import sinks
 
 OPS = ("sum", "mean", "min", "max", "distinct_count")
 
@@ -148,3 +149,22 @@ def test_report_of_odd_tables(spark):
     with pytest.raises(BadRequest):
         quality.report(spark.range(3))
     assert T is not None
+
+
+def test_extremes(spark):
+    df = spark.createDataFrame([("a", 3), ("b", None), ("c", 5), ("d", 5)], "id string, token_count long")
+    assert [r.id for r in sampling.extremes(df, 3).collect()] == ["c", "d", "a"]
+    assert [r.id for r in sampling.extremes(df, 4, longest=False).collect()] == ["a", "c", "d", "b"]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, [1, 2])], "a int, b string, c array<int>")
+    for kind in ("parquet", "json", "orc", "csv"):
+        sinks.write(df, str(tmp_path / kind), kind)
+        assert spark.read.format(kind).option("header", "true").load(str(tmp_path / kind)).count() == 1
+    assert sinks.as_json(df).first()[0] == '{"a":1,"b":null,"c":[1,2]}'
+    with pytest.raises(BadRequest):
+        sinks.write(df, str(tmp_path / "x"), "xml")
+    sent = []
+    sinks.submit(sinks.JobRequest("in", "out", "bad", "text", "id"), sent.append)
+    assert sent == ['{"excluded_file": "bad", "id_column": "id", "input_file": "in", "output_file": "out", "text_column": "text"}']
