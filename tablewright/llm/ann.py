@@ -4,9 +4,9 @@ Each tree splits at a random direction for each level, at the median of a bounde
 directions and medians only, and broadcasts them. Every row is then dealt to its leaf of each tree. A query walks all trees through one
 priority queue, always going on at the node whose splits it is least on the wrong side of, until it has enough leaves. How many those are is measured:
 on the sample, whose own nearest neighbours are known by brute force, as many as reach ``target`` of them. The sample is sparser than the table and its
-neighbours further away, so the table's recall is no lower; data in clusters need few leaves, data without structure many. Rows and queries meet by leaf, where
-exact distances rank the candidates; the best of each leaf are merged. Leaves larger than ``leaf_most`` rows on average are split evenly over tasks, to each of
-which the query goes.
+neighbours further away, so the table's recall is no lower; data in clusters need few leaves, data without structure many. Rows and queries meet by
+subtrees of about ``block_rows`` rows, where exact distances rank the candidates in the leaves that the query asks for; the best of each subtree are merged.
+Leaves that are larger on average are split evenly over tasks, to each of which the query goes.
 
 Equal vectors count once in the forest (no split could part them); each stands for its ``k + 1`` smallest ids, all that a list of ``k`` can need.
 
@@ -138,7 +138,7 @@ def neighbours(
     trees: int = 6,
     target: float = 0.97,
     leaf_rows: int = 400,
-    leaf_most: int = 4000,
+    block_rows: int = 4000,
     fit_rows: int = 10_000,
     seed: int = 1,
 ) -> DataFrame:
@@ -155,7 +155,8 @@ def neighbours(
     depth = min(depth, int(np.log2(max(1, len(taught) / 8))))
     forest = Forest.fit(taught, trees if depth else 1, depth, seed)
     probes = forest.probes_for(taught, k, target)
-    splits = max(1, int(np.ceil(n / (1 << depth) / leaf_most)))
+    splits = max(1, int(np.ceil(n / (1 << depth) / block_rows)))
+    shift = min(depth, max(0, int(np.log2(max(1.0, block_rows * (1 << depth) / max(1, n))))))
     sent = rows.sparkSession.sparkContext.broadcast((forest.directions, forest.thresholds))
     kind = each.schema["v"].dataType.simpleString()
 
@@ -168,34 +169,49 @@ def neighbours(
             leaf, part = own.leaves(_matrix(v)), pa.array(ids.to_numpy() % splits)
             for t in range(own.trees):
                 tree = pa.array(np.full(batch.num_rows, t, np.int32))
-                yield pa.RecordBatch.from_arrays([tree, pa.array(leaf[:, t]), part, ids, v], names=["tree", "leaf", "part", "id", "v"])
+                columns = [tree, pa.array(leaf[:, t] >> shift), part, pa.array(leaf[:, t]), ids, v]
+                yield pa.RecordBatch.from_arrays(columns, names=["tree", "block", "part", "leaf", "id", "v"])
 
     def ask(batches):
         own = Forest(*sent.value)
         for batch in batches:
-            for k_, q in enumerate(_matrix(batch.column(1)) if batch.num_rows else []):
-                tree, leaf = np.array(own.search(q, probes)).T
-                again = pa.array(np.full(len(tree), k_))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tree.astype(np.int32)), pa.array(leaf), batch.column(0).take(again), batch.column(1).take(again)],
-                    names=["tree", "leaf", "query_id", "q"],
-                )
+            for place, q in enumerate(_matrix(batch.column(1)) if batch.num_rows else []):
+                wanted: dict[tuple[int, int], list[int]] = {}
+                for t, leaf in own.search(q, probes):
+                    wanted.setdefault((t, leaf >> shift), []).append(leaf)
+                again = pa.array(np.full(len(wanted), place))
+                tree, block = (np.array(x) for x in zip(*wanted, strict=True))
+                columns = [pa.array(tree.astype(np.int32)), pa.array(block), pa.array(wanted.values(), pa.list_(pa.int64()))]
+                columns += [batch.column(0).take(again), batch.column(1).take(again)]
+                yield pa.RecordBatch.from_arrays(columns, names=["tree", "block", "leaves", "query_id", "q"])
 
     result = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
     def meet(members: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(members) or not len(asked):
             return result.empty_table()
-        ids, queries = members["id"].to_numpy(), asked["query_id"].to_numpy()
-        found = list(_closest(_matrix(asked["q"]), _matrix(members["v"]), ids, k + 1))
-        at, score = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table([np.repeat(queries, [len(x) for x, _ in found]), ids[at], score], schema=result)
+        leaf, ids, vectors = members["leaf"].to_numpy(), members["id"].to_numpy(), _matrix(members["v"])
+        query, q, leaves = asked["query_id"].to_numpy(), _matrix(asked["q"]), asked["leaves"].combine_chunks()
+        owner, wanted = leaves.value_parent_indices().to_numpy(), leaves.flatten().to_numpy()
+        out = []
+        for one in np.intersect1d(wanted, leaf):
+            rows, who = np.flatnonzero(leaf == one), owner[wanted == one]
+            for k_, (at, score) in zip(who, _closest(q[who], vectors[rows], ids[rows], k + 1), strict=True):
+                out.append((np.full(len(at), query[k_]), ids[rows[at]], score))
+        if not out:
+            return result.empty_table()
+        found, near, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((near, score, found))
+        found, near, score = found[order], near[order], score[order]
+        first = np.searchsorted(found, found, side="left")
+        kept = np.arange(len(found)) - first <= k
+        return pa.table([found[kept], near[kept], score[kept]], schema=result)
 
     queries = each.filter(is_query(F.col("id")))
-    dealt = groups.select("id", "v").mapInArrow(deal, f"tree int, leaf long, part long, id long, v {kind}")
-    asked = queries.select("id", "v").mapInArrow(ask, f"tree int, leaf long, query_id long, q {kind}")
+    dealt = groups.select("id", "v").mapInArrow(deal, f"tree int, block long, part long, leaf long, id long, v {kind}")
+    asked = queries.select("id", "v").mapInArrow(ask, f"tree int, block long, leaves array<long>, query_id long, q {kind}")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))))
-    key = ["tree", "leaf", "part"]
+    key = ["tree", "block", "part"]
     met = dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(meet, "query_id long, id long, score double")
     nearest = Window.partitionBy("query_id").orderBy("score", "id")
     best = met.distinct().withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k + 1).drop("n")

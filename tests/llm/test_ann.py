@@ -56,7 +56,9 @@ def test_recall_with_many_leaves_and_split_leaves(spark):
     vectors = centres[rng.integers(0, 20, 4000)] + 0.3 * rng.standard_normal((4000, 32))
     rows = [(k, v.astype("float32").tolist(), None, None) for k, v in enumerate(vectors)]
     want = brute(rows, 10, lambda i: i % 100 == 0)
-    mine = got(ann.neighbours(spark.createDataFrame(rows, SCHEMA), lambda c: c % 100 == 0, leaf_rows=100, leaf_most=40))
+    mine = got(ann.neighbours(spark.createDataFrame(rows, SCHEMA), lambda c: c % 100 == 0, leaf_rows=100, block_rows=40))
+    whole = got(ann.neighbours(spark.createDataFrame(rows, SCHEMA), lambda c: c % 100 == 0, leaf_rows=100, block_rows=450))
+    assert whole == mine
     hits = sum(len({i for i, _ in want[q]} & {i for i, _ in mine[q]}) for q in want)
     assert hits / (10 * len(want)) >= 0.9
     assert all(len(v) == 10 for v in mine.values())
