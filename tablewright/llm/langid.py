@@ -79,9 +79,14 @@ def train(labelled: DataFrame, bits: int = 16, rows_per_language: int = 1500) ->
         if held:
             yield pd.DataFrame({"lang": list(held), "counts": [zlib.compress(x.tobytes(), 1) for x in held.values()]})
 
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint32) for x in frame["counts"])
+        return pd.DataFrame({"lang": frame["lang"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    kind = "lang string, counts binary"
     totals = np.zeros((len(languages), 1 << bits))
-    for r in chosen.mapInPandas(count, "lang string, counts binary").toLocalIterator():
-        totals[languages.index(r["lang"])] += np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+    for r in chosen.mapInPandas(count, kind).groupBy("lang").applyInPandas(merge, kind).collect():  # one row a language
+        totals[languages.index(r["lang"])] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     taught = totals.sum(axis=1) > 0
     languages, totals = [k for k, t in zip(languages, taught, strict=True) if t], totals[taught]
     smooth = totals + 0.5

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from tablewright.llm.common import crc_of_id, shipped
 
 METADATA_BUCKETS = 256
+#: Documents are rejected below this score: well under the middle, as a good document lost is worse than a bad one kept.
+KEEP_AT = 0.25
 
 
 def content_features(text: str | None) -> list[float]:

@@ -65,8 +65,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
     made = quality.scored(docs.select("doc_id", "text", "source", "lang", "n_chars"), model, "q")
-    keep = (F.col("q.score") >= 0.5).cast("int")
-    return made.select("doc_id", F.col("q.content").alias("content_score"), F.col("q.metadata").alias("metadata_score"), F.col("q.score").alias("score"), keep.alias("predicted"))
+    score = F.col("q.score")
+    return made.select(
+        "doc_id",
+        F.col("q.content").alias("content_score"),
+        F.col("q.metadata").alias("metadata_score"),
+        score.alias("score"),
+        (score >= 0.5).cast("int").alias("predicted"),
+        (score >= quality.KEEP_AT).alias("keep"),
+    )
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
