@@ -11,7 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Bytes of text that numpy code turns into code points at once; bounds a Python worker's memory.
+#: Characters of text that numpy code turns into code points at once; bounds a Python worker's memory.
 BLOCK_CHARS = 1_000_000
 
 
