@@ -82,8 +82,7 @@ class _Forest:
             low = np.minimum(self.root[a], self.root[b])
             before = self.root.copy()
             for side in (a, b):
-                np.minimum.at(self.root, before[side], low)
-                np.minimum.at(self.root, side, low)
+                np.minimum.at(self.root, before[side], low)  # only roots are lowered, so members of earlier calls follow
             while not np.array_equal(self.root, further := self.root[self.root]):
                 self.root = further
             if np.array_equal(before, self.root):

@@ -107,6 +107,57 @@ def test_long_runs_are_split_exactly(spark, monkeypatch):
     assert all(root[int(a)] == root[int(b)] for a, b in got)
 
 
+def plain_roots(fps, most=3):
+    """The smallest position of each fingerprint's component, by brute force over a numpy array."""
+    import numpy as np
+
+    root = np.arange(len(fps))
+    for k in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[k + 1 :] ^ fps[k]) <= most) + k + 1:
+            low, high = sorted((root[k], root[j]))
+            if low != high:
+                root[root == high] = low
+    return root
+
+
+def test_forest_joins_trees_of_earlier_calls():
+    import numpy as np
+
+    forest = simhash._Forest(9)
+    forest.join(np.array([5, 5]), np.array([7, 8]))
+    forest.join(np.array([7, 8]), np.array([1, 0]))
+    assert forest.root.tolist() == [0, 0, 2, 3, 4, 0, 6, 0, 0]
+
+
+def test_sparse_cluster_over_many_tiles(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(11)
+    shared = simhash._PAIRS[0]
+    free = [k for k in range(64) if not shared >> k & 1]
+    made = [rng.getrandbits(64) & ~shared for _ in range(3)]
+    seen = set(made)
+    while len(made) < 4000:
+        f = rng.choice(made[-40:])
+        for b in rng.sample(free, 3):
+            f ^= 1 << b
+        if f not in seen:
+            seen.add(f)
+            made.append(f)
+    rng.shuffle(made)
+    fps = np.array(made, dtype=np.uint64)
+    root = plain_roots(fps)
+    place = {int(f): k for k, f in enumerate(fps)}
+    for limit in (8192, 1000):
+        monkeypatch.setattr(simhash, "LONG_RUN", limit)
+        got = simhash._links_of(np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int32), fps, 3)
+        assert all(root[place[int(a)]] == root[place[int(b)]] for a, b in got)
+        assert len(got) == len(fps) - len(set(root.tolist()))
+        forest = simhash._Forest(len(fps))
+        forest.join(*(np.array([place[int(x)] for x in side]) for side in got.T))
+        assert (forest.root == root).all()
+
+
 def test_one_of_each(spark):
     rows = rows_of_all_kinds()
     docs = spark.createDataFrame(rows, SCHEMA)
