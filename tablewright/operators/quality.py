@@ -34,14 +34,15 @@ def measures(
     text: str = "text",
     token_count: str = "token_count",
     id_: str = "id",
-    sample_rows: int = SAMPLE_ROWS,
+    sample_rows: int | None = SAMPLE_ROWS,
     seed: int = 0,
     detector: language.Detector = language.detected,
 ) -> DataFrame:
     """One row with all measures that the score reads.
 
     One job passes over the whole table for counts and texts, one counts distinct ids and text digests, one the token lengths, and one
-    takes the sample (the whole table, if it is no larger) for repetition and languages. Each gives one row; those are put side by side.
+    looks for repetition and languages in a sample of ``sample_rows`` (the whole table, if it is no larger) or, with None, in every row. Each
+    gives one row; those are put side by side.
     """
     for name in (text, token_count):
         if name not in df.columns:
@@ -53,7 +54,8 @@ def measures(
     two = df.agg(*copies)
     three = tokens.outliers(df, token_count)
     # The sample is told apart by its text and id; other columns need not be read.
-    sample = exact_sample(df.select(*[c for c in (id_, text) if c in kinds]), sample_rows, seed)
+    plain = df.select(*[c for c in (id_, text) if c in kinds])
+    sample = plain if sample_rows is None else exact_sample(plain, sample_rows, seed)
     judged = sample.select(repetition.repeats(F.col(text)).alias("r"), detector(F.col(text)).alias("lang"))
     by_lang = judged.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("r").alias("k"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "lang", "n")))

@@ -313,9 +313,14 @@ _PENALTIES_SQL = (
 _PENALTY_NAMES = ("duplicates", "missing", "encoding", "outliers", "non_alpha", "repetition", "markup", "language")
 
 
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality report of all documents, none of it from a sample."""
+    return quality.report(documents(spark, sf_dir), sample_rows=None)
+
+
 @registered(_PENALTIES_SQL + " SELECT " + ", ".join(f"CAST(penalty_{n} AS DOUBLE) AS penalty_{n}" for n in _PENALTY_NAMES) + " FROM z")
 def quality_penalties(spark, sf_dir):
-    return quality.report(documents(spark, sf_dir)).select(*[f"penalty_{n}" for n in _PENALTY_NAMES])
+    return _report(spark, sf_dir).select(*[f"penalty_{n}" for n in _PENALTY_NAMES])
 
 
 _SCORE_SQL = "CAST(greatest(0, 100 - (" + " + ".join(f"penalty_{n}" for n in _PENALTY_NAMES) + ")) AS DOUBLE)"
@@ -324,7 +329,7 @@ _GRADE_SQL = "CASE " + " ".join(f"WHEN score >= {least} THEN '{name}'" for least
 
 @registered(_PENALTIES_SQL + f", f AS (SELECT {_SCORE_SQL} AS score FROM z) SELECT round(score, 1) AS score, {_GRADE_SQL} AS grade FROM f")
 def quality_score_grade(spark, sf_dir):
-    return quality.report(documents(spark, sf_dir)).select("score", "grade")
+    return _report(spark, sf_dir).select("score", "grade")
 
 
 @registered(
@@ -334,7 +339,7 @@ def quality_score_grade(spark, sf_dir):
     "CASE WHEN repetition / total_rows > 0.02 THEN 'Look through repetitive texts' END, CASE WHEN langs > 2 THEN 'Split or filter by language' END], lambda x: x IS NOT NULL), '; ') AS recommendations FROM m"
 )
 def quality_insights(spark, sf_dir):
-    made = quality.report(documents(spark, sf_dir)).select("recommendations")
+    made = _report(spark, sf_dir).select("recommendations")
     return made.select(F.array_join("recommendations", "; ").alias("recommendations"))
 
 
@@ -343,7 +348,7 @@ def quality_insights(spark, sf_dir):
     + " SELECT CAST(total_rows AS BIGINT) AS row_count, duplicate_ids, duplicate_texts, replacement_char, mojibake, control_chars, html_like, code_like, log_like, non_alpha_ratio, too_short, too_long, above_p99, repetition, langs FROM m"
 )
 def quality_report(spark, sf_dir):
-    made = quality.report(documents(spark, sf_dir))
+    made = _report(spark, sf_dir)
     plain = "duplicate_ids duplicate_texts replacement_char mojibake control_chars html_like code_like log_like".split()
     ends = "too_short too_long above_p99 repetition".split()
     return made.select(F.col("total_rows").alias("row_count"), *plain, F.round("non_alpha_ratio", 9).alias("non_alpha_ratio"), *ends, F.size("lang_dist").cast("long").alias("langs"))

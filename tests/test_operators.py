@@ -168,3 +168,17 @@ def test_sinks(spark, tmp_path):
     sent = []
     sinks.submit(sinks.JobRequest("in", "out", "bad", "text", "id"), sent.append)
     assert sent == ['{"excluded_file": "bad", "id_column": "id", "input_file": "in", "output_file": "out", "text_column": "text"}']
+
+
+def test_registered_reports_judge_every_document(spark, tmp_path):
+    from tablewright.plans.queries import queries
+
+    n = sampling.SAMPLE_ROWS + 2501
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("the "), F.repeat(F.lit("word "), 6), F.col("id"))).otherwise(F.concat(F.lit("the fine text "), F.col("id")))
+    rare = F.create_map(*[F.lit(x) for pair in ((1, "der und die"), (2, "el los las"), (4, "le et les"), (5, "zzz")) for x in pair])
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.coalesce(F.element_at(rare, F.col("id").cast("int")), text).alias("text"), F.lit("s").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    row = queries()["quality_report"](spark, str(tmp_path)).first()
+    assert (row.row_count, row.repetition, row.langs) == (n, len(range(0, n, 3)), 5)
+    whole = quality.measures(docs.select(F.col("doc_id").alias("id"), "text", F.lit(3).alias("token_count")), sample_rows=None).first()
+    assert sum(whole.lang_dist.values()) == n and whole.repetition_estimate.sample_n == n
