@@ -22,11 +22,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a learned language is found; ``und`` goes."""
+    """Documents in a learned language; ``und`` goes, and so do texts unlike all that was learned."""
     model = langid.train(docs)
     into = private("language")
     found = docs.withColumn(into, langid.predicted(docs, model))
-    return found.filter(F.col(into)["lang_pred"] != langid.UNKNOWN).select(*docs.columns)
+    return found.filter(F.col(into)["learned"]).select(*docs.columns)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Training counts n-grams on the executors over a bounded sample (at most ``rows_per_language`` rows of each language, the
 same rows each time); the driver turns the counts into one matrix of log probabilities, 2**bits lines by languages, which
-is broadcast. Scoring gathers the matrix lines of a whole text's n-grams in numpy and sums them.
+is broadcast. Scoring gathers the matrix lines of a whole text's n-grams in numpy and sums them. A text counts as written in
+its language if its log-likelihood per n-gram isn't far below the mean over that language's training texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with nothing to learn from, every text is ``und``;
 a null language teaches nothing; repeated rows are scored alike; ties go to the language first in order; an empty table
@@ -27,6 +28,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 _SPACES = re.compile(r"[\W\d_]+")
 #: Most languages of one model; its matrix is then at most 64 MB at 16 bits.
 MOST_LANGUAGES = 256
+#: A text is foreign to its best language below the usual log-likelihood per n-gram by more than FAR + FAR_SHORT / sqrt(n-grams).
+FAR, FAR_SHORT = 2.0, 16.0
 
 
 def features(text: str, bits: int) -> list[np.ndarray]:
@@ -36,12 +39,16 @@ def features(text: str, bits: int) -> list[np.ndarray]:
 
 
 class Model:
-    def __init__(self, languages: list[str], log_p: np.ndarray, bits: int):
-        self.languages, self.log_p, self.bits = languages, log_p, bits
+    def __init__(self, languages: list[str], log_p: np.ndarray, bits: int, usual: np.ndarray):
+        self.languages, self.log_p, self.bits, self.usual = languages, log_p, bits, usual
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the text is likely enough to be in that language."""
         if not self.languages or not text or not _LETTER.search(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         total, n = np.zeros(len(self.languages)), 0
         for made in features(text, self.bits):
             for k in range(0, len(made), 1 << 16):
@@ -50,7 +57,8 @@ class Model:
         shown = total / n * min(n, 200)  # the n-grams of a text are far from independent; a long one would always show 1.0
         odds = np.exp(shown - shown.max())
         best = int(total.argmax())
-        return self.languages[best], float(odds[best] / odds.sum())
+        learned = self.usual[best] - total[best] / n <= FAR + FAR_SHORT / n**0.5
+        return self.languages[best], float(odds[best] / odds.sum()), bool(learned)
 
 
 def train(labelled: DataFrame, bits: int = 16, rows_per_language: int = 1500) -> Model:
@@ -62,7 +70,7 @@ def train(labelled: DataFrame, bits: int = 16, rows_per_language: int = 1500) ->
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros((1 << bits, 0), np.float32), bits)
+        return Model([], np.zeros((1 << bits, 0), np.float32), bits, np.zeros(0))
     place = (F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000).cast("double")
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, rows_per_language / sizes[k])))])
     chosen = rows.filter(place <= share[F.col("lang")]).select("text", "lang").repartition(8)
@@ -90,16 +98,18 @@ def train(labelled: DataFrame, bits: int = 16, rows_per_language: int = 1500) ->
     taught = totals.sum(axis=1) > 0
     languages, totals = [k for k, t in zip(languages, taught, strict=True) if t], totals[taught]
     smooth = totals + 0.5
-    return Model(languages, np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32)), bits)
+    log_p = np.log(smooth / smooth.sum(axis=1, keepdims=True))
+    usual = (totals * log_p).sum(axis=1) / totals.sum(axis=1)
+    return Model(languages, np.ascontiguousarray(log_p.T.astype(np.float32)), bits, usual)
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> Column:
-    """A struct column (lang_pred, score) for ``docs``."""
-    sent = shipped(docs).sparkSession.sparkContext.broadcast((model.languages, model.log_p, model.bits))
+    """A struct column (lang_pred, score, learned) for ``docs``; texts unlike all learned languages have learned false."""
+    sent = shipped(docs).sparkSession.sparkContext.broadcast((model.languages, model.log_p, model.bits, model.usual))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, learned boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
         own = Model(*sent.value)
-        return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([own.judge(t) for t in texts], columns=["lang_pred", "score", "learned"])
 
     return run(F.col(text).cast("string"))

@@ -1,6 +1,6 @@
 import zlib
 
-from corpus_pipeline import STAGES, run
+from corpus_pipeline import STAGES, language_stage, run
 from test_decontaminate import brute as leaks
 from test_packing import plain_ids
 from test_simhash import plain_components, plain_fingerprint
@@ -66,3 +66,16 @@ def test_held_out_rows_follow_the_hash(spark):
     assert sum(r.held_out for r in got) > 20
     toxic = queries.op2_toxicity(spark, SMALL).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for r in toxic)
+
+
+def test_language_stage_rejects_by_the_model(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    texts = {
+        -1: "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 5,
+        -2: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 3,
+        -3: "xq zjwkv bnmtrq fghjkl wqxz pppp zzzz qqqqxx vbkj hgfd " * 5,
+        -4: "The and that with this.",
+    }
+    odd = spark.createDataFrame([(k, t, None) for k, t in texts.items()], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language_stage(spark, docs.unionByName(odd), SMALL).collect()}
+    assert kept == {r.doc_id for r in docs.collect() if langid._LETTER.search(r.text or "")} | {-4}
