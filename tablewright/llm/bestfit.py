@@ -4,7 +4,7 @@ Documents become token pieces, pieces become sequences of at most ``seq_len`` to
 over the texts; only one short row per piece travels afterwards. Full pieces are sequences as they are. The rest is
 dealt evenly over cells of about ``cell_items`` pieces, each packed by itself: first best-fit decreasing, then a local
 search that moves pieces, swaps one for one, or two for one, from an underfull bin into fuller ones, so that the sum of
-squared fills rises with each step until the bin is empty or no step helps.
+squared fills rises with each step until the bin is empty or no step helps; it ends when no underfull bin of the cell has a step.
 
 Defined cases: a null text is an empty one (its end token alone); every row is a document of its own, so repeated rows
 are packed repeatedly and a null id stays null; equal lengths are taken in order of arrival; an empty table gives an
@@ -98,57 +98,72 @@ class Bins:
                 self.free.append(self.capacity)
                 self.put(item, len(self.members) - 1)
 
-    def improve(self, patience: int = 16) -> None:
-        """Step while the squared fill rises, from the emptiest bin on, until the bound is met or ``patience`` bins in a row resist."""
-        resisted: set[int] = set()
+    def improve(self) -> None:
+        """Step while the squared fill rises, over all underfull bins from the emptiest on, until the bound is met or a round changes nothing."""
+        sizes, free = np.array(self.lengths, dtype=np.int64), np.array(self.free, dtype=np.int64)
+        home = np.zeros(len(sizes), dtype=np.int64)
+        for bin_, members in enumerate(self.members):
+            home[members] = bin_
         left = sum(1 for m in self.members if m)
-        while left > self.needed and len(resisted) < patience:
-            open_ = [b for _, b in self._room if self.members[b] and b not in resisted]
-            if not open_:
-                return
-            giver = open_[-1]
-            if self._step(giver):
-                resisted.clear()
-                left -= not self.members[giver]
-            else:
-                resisted.add(giver)
-
-    def _step(self, giver: int) -> bool:
-        """One move or swap out of ``giver`` that raises the sum of squared fills."""
+        changed = True
+        while changed:
+            changed = False
+            for giver in [b for _, b in reversed(self._room)]:
+                while left > self.needed and self.members[giver] and self.free[giver] and self._step(giver, sizes, home, free):
+                    changed = True
+                    left -= not self.members[giver]
+                if left <= self.needed:
+                    return
+
+    def _move(self, items: tuple[int, ...], to: int, home: np.ndarray, free: np.ndarray) -> None:
+        for k in items:
+            of = int(home[k])
+            self.take(k, of)
+            free[of], home[k] = self.free[of], to
+        for k in items:
+            self.put(k, to)
+        free[to] = self.free[to]
+
+    def _step(self, giver: int, sizes: np.ndarray, home: np.ndarray, free: np.ndarray) -> bool:
+        """One move or swap out of ``giver`` that raises the sum of squared fills; ``home`` and ``free`` are kept up to date."""
         mine = self.members[giver]
         fill = self.capacity - self.free[giver]
         for item in sorted(mine, key=lambda k: -self.lengths[k]):
             at = bisect_left(self._room, (self.lengths[item], -1))
-            for free, other in self._room[at : at + 2]:
-                if other != giver and self.members[other] and self.capacity - free + self.lengths[item] > fill:
-                    self.take(item, giver)
-                    self.put(item, other)
+            # Of the bins that hold it the fullest gains most, so none need be tried after it; the giver itself may come first.
+            for room_left, other in self._room[at : at + 2]:
+                if other != giver and self.members[other] and self.capacity - room_left + self.lengths[item] > fill:
+                    self._move((item,), other, home, free)
                     return True
-        bins = [b for _, b in self._room if b != giver and self.members[b]]
-        items = np.array([k for b in bins for k in self.members[b]], dtype=np.int64)
+        items = np.flatnonzero((free[home] > 0) & (home != giver))
         if not len(items):
             return False
-        homes = np.array([b for b in bins for _ in self.members[b]], dtype=np.int64)
-        sizes = np.array([self.lengths[k] for k in items])
-        frees = np.array([self.free[b] for b in homes])
-        room = sizes + frees
-        ahead = np.maximum(0, fill - (self.capacity - frees))
-        singles = [((k,), self.lengths[k]) for k in mine]
-        doubles = [((a, b), self.lengths[a] + self.lengths[b]) for x, a in enumerate(mine[:64]) for b in mine[x + 1 : 64]]
+        theirs, frees = sizes[items], free[home[items]]
+        room = theirs + frees
+        least = theirs + np.maximum(0, fill - (self.capacity - frees))
+        # One piece or pair of each total length stands for all of it.
+        alike: dict[int, list[int]] = {}
+        for k in mine:
+            alike.setdefault(self.lengths[k], []).append(k)
+        given = {size: (same[0],) for size, same in alike.items()}
+        firsts = list(alike.values())
+        for x, a in enumerate(firsts):
+            pairs = [(a[0], b[0]) for b in firsts[x + 1 :]] + ([(a[0], a[1])] if len(a) > 1 else [])
+            for pair in pairs:
+                given.setdefault(self.lengths[pair[0]] + self.lengths[pair[1]], pair)
         best = (0, None, None)
-        for given, size in singles + doubles:
-            gain = np.where((size - sizes > ahead) & (room >= size), size - sizes, 0)
+        for size, own in given.items():
+            gain = np.where((size > least) & (room >= size), size - theirs, 0)
             if gain[at := int(gain.argmax())] > best[0]:
-                best = (int(gain[at]), given, at)
+                best = (int(gain[at]), own, at)
         if best[1] is None:
             return False
-        for k in best[1]:
-            self.take(k, giver)
-        back, home = int(items[best[2]]), int(homes[best[2]])
-        self.take(back, home)
+        back = int(items[best[2]])
+        there = int(home[back])
+        self.take(back, there)
+        self._move(best[1], there, home, free)
         self.put(back, giver)
-        for k in best[1]:
-            self.put(k, home)
+        home[back], free[giver] = giver, self.free[giver]
         return True
 
 

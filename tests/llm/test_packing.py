@@ -1,4 +1,5 @@
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -86,6 +87,28 @@ def test_search_empties_a_bin_by_swaps():
     assert sum(1 for m in bins.members if m) == 2
 
 
+def helpful_step(members, lengths, capacity):
+    """A move or swap out of one bin into another that raises the sum of squared fills, found by brute force."""
+    fills = [sum(lengths[k] for k in m) for m in members]
+    for g, mine in enumerate(members):
+        own = {lengths[k] for k in mine} | {lengths[a] + lengths[b] for a, b in combinations(mine, 2)}
+        for h, theirs in enumerate(members):
+            if g == h or capacity in (fills[g], fills[h]):
+                continue
+            moved = {lengths[k] for k in mine} | {x - lengths[k] for x in own for k in theirs}
+            if any(0 < d and fills[h] + d <= capacity and fills[h] + d > fills[g] for d in moved):
+                return g, h
+    return None
+
+
+def test_search_ends_only_when_no_bin_has_a_step():
+    rng = np.random.default_rng(2)
+    lengths = np.concatenate([rng.integers(513, 601, 60), rng.integers(150, 420, 60)]).tolist()
+    got = bestfit.pack_lengths(lengths, 1024)
+    assert sorted(k for m in got for k in m) == list(range(len(lengths)))
+    assert len(got) == -(-sum(lengths) // 1024) or helpful_step(got, lengths, 1024) is None
+
+
 @pytest.mark.parametrize("capacity", [7, 8, 30])
 @settings(max_examples=80, deadline=None)
 @given(data=st.data())
