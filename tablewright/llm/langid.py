@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.llm.chargrams import buckets, codes
-from tablewright.llm.common import shipped
+from tablewright.llm.common import private, shipped
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACES = re.compile(r"[\W\d_]+")
-#: Most languages of one model; its matrix is then at most 64 MB at 16 bits.
-MOST_LANGUAGES = 256
+#: Most numbers in a model's matrix (64 MB): 256 languages at 16 bits, fewer bits with more languages.
+MATRIX = 1 << 24
 #: A text is foreign to its best language below the usual log-likelihood per n-gram by more than FAR + FAR_SHORT / sqrt(n-grams).
 FAR, FAR_SHORT = 2.0, 16.0
 
@@ -51,8 +51,9 @@ class Model:
             return UNKNOWN, 0.0, False
         total, n = np.zeros(len(self.languages)), 0
         for made in features(text, self.bits):
-            for k in range(0, len(made), 1 << 16):
-                total += self.log_p[made[k : k + (1 << 16)]].sum(axis=0, dtype=np.float64)
+            step = max(1, min(1 << 16, MATRIX // len(self.languages)))
+            for k in range(0, len(made), step):
+                total += self.log_p[made[k : k + step]].sum(axis=0, dtype=np.float64)
             n += len(made)
         shown = total / n * min(n, 200)  # the n-grams of a text are far from independent; a long one would always show 1.0
         odds = np.exp(shown - shown.max())
@@ -62,18 +63,25 @@ class Model:
 
 
 def train(labelled: DataFrame, bits: int = 16, rows_per_language: int = 1500) -> Model:
-    """A model from the rows (doc_id, text, lang) of ``labelled`` that have both text and language."""
+    """A model from the rows (doc_id, text, lang) of ``labelled`` that have both text and language.
+
+    With so many languages that the matrix would exceed ``MATRIX``, ``bits`` shrinks.
+    """
     rows = shipped(labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
+    while bits > 1 and len(languages) << bits > MATRIX:
+        bits -= 1
     if not languages:
         return Model([], np.zeros((1 << bits, 0), np.float32), bits, np.zeros(0))
     place = (F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000).cast("double")
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, rows_per_language / sizes[k])))])
-    chosen = rows.filter(place <= share[F.col("lang")]).select("text", "lang").repartition(8)
+    # Only languages with more rows than that are thinned out, so they alone are looked up.
+    most = {k: rows_per_language / n for k, n in sizes.items() if n > rows_per_language}
+    lang, share = private("lang"), private("share")
+    thinned = labelled.sparkSession.createDataFrame(list(most.items()), f"{lang} string, {share} double")
+    joined = rows.join(F.broadcast(thinned), F.col("lang") == F.col(lang), "left")
+    chosen = joined.filter(F.coalesce(place <= F.col(share), F.lit(True))).select("text", "lang").repartition(8)
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
@@ -92,14 +100,14 @@ def train(labelled: DataFrame, bits: int = 16, rows_per_language: int = 1500) ->
         return pd.DataFrame({"lang": frame["lang"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     kind = "lang string, counts binary"
-    totals = np.zeros((len(languages), 1 << bits))
+    totals, number = np.zeros((len(languages), 1 << bits)), {k: i for i, k in enumerate(languages)}
     for r in chosen.mapInPandas(count, kind).groupBy("lang").applyInPandas(merge, kind).collect():  # one row a language
-        totals[languages.index(r["lang"])] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+        totals[number[r["lang"]]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     taught = totals.sum(axis=1) > 0
     languages, totals = [k for k, t in zip(languages, taught, strict=True) if t], totals[taught]
     smooth = totals + 0.5
     log_p = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-    usual = (totals * log_p).sum(axis=1) / totals.sum(axis=1)
+    usual = np.einsum("ij,ij->i", totals, log_p) / totals.sum(axis=1)
     return Model(languages, np.ascontiguousarray(log_p.T.astype(np.float32)), bits, usual)
 
 

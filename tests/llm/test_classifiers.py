@@ -48,6 +48,17 @@ def test_language_counts_equal_brute_force(spark):
         assert np.allclose(model.log_p[:, k], np.log(want[lang] / want[lang].sum()), atol=1e-5)
 
 
+def test_more_languages_than_the_matrix_holds_at_full_bits(spark):
+    rows = language_docs(200)
+    dirty = [(1000 + k, sentences("en", 5, random.Random(k)), f"en-x{k}", None, None, None, None) for k in range(600)]
+    df = spark.createDataFrame(rows + dirty, DOCS)
+    model = langid.train(df)
+    assert len(model.languages) == 602 and model.log_p.size <= langid.MATRIX and model.bits == 14
+    assert np.mean([model.predict(r[1])[0].startswith(r[2]) for r in rows]) > 0.95
+    few = langid.train(df.filter("lang in ('en', 'fr')"), rows_per_language=20)
+    assert few.bits == 16 and few.languages == ["en", "fr"]
+
+
 def test_language_without_anything_to_learn(spark):
     df = spark.createDataFrame([], DOCS)
     assert langid.train(df).predict("some text") == ("und", 0.0)
