@@ -2,9 +2,11 @@
 
 Documents become token pieces, pieces become sequences of at most ``seq_len`` tokens. Tokenising is a narrow pass
 over the texts; only one short row per piece travels afterwards. Full pieces are sequences as they are. The rest is
-dealt evenly over cells of about ``cell_items`` pieces, each packed by itself: first best-fit decreasing, then a local
-search that moves pieces, swaps one for one, or two for one, from an underfull bin into fuller ones, so that the sum of
-squared fills rises with each step until the bin is empty or no step helps; it ends when no underfull bin of the cell has a step.
+dealt evenly over cells of about ``cell_items`` pieces, each packed by itself: from best-fit decreasing, a local search goes on
+until the bound is met or no underfull bin of the cell has a step. A step moves one piece or two out of an underfull bin into another, or
+exchanges them for one or two of it, so that the sum of squared fills rises; first comes what fills the other bin to the last token, then
+what puts most into it. Where none does, a piece goes to a full bin for two that are as long together, which fit elsewhere.
+No choice is capped: all underfull bins, all their pieces and pairs are candidates.
 
 Defined cases: a null text is an empty one (its end token alone); every row is a document of its own, so repeated rows
 are packed repeatedly and a null id stays null; equal lengths are taken in order of arrival; an empty table gives an
@@ -16,9 +18,9 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -62,110 +64,168 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", eos_id: int =
 
 
 class Bins:
-    """Bins of one capacity, with their free room in a sorted list for best fit."""
+    """Bins of one capacity. Those with the same free room stand together, ordered by room, for best fit."""
 
     def __init__(self, lengths, capacity: int):
         self.lengths = [int(x) for x in lengths]
         self.capacity = capacity
         self.members: list[list[int]] = []
         self.free: list[int] = []
+        self.count = 0
         self.needed = -(-sum(self.lengths) // capacity)
-        self._room: list[tuple[int, int]] = []
+        #: By free room: the bins, and (while the search runs) the bins by each total of one or two of their pieces.
+        self._alike: dict[int, dict[int, None]] = {}
+        self._totals: dict[int, dict[int, dict[int, None]]] | None = None
+        self._rooms: list[int] = []
 
-    def put(self, item: int, bin_: int) -> None:
-        self.members[bin_].append(item)
-        self._set(bin_, self.free[bin_] - self.lengths[item])
+    def _choices(self, bin_: int) -> dict[int, tuple[int, ...]]:
+        """One piece or pair of pieces for each total, the longest pieces first; of one total a single piece."""
+        by: dict[int, list[int]] = {}
+        for k in self.members[bin_]:
+            by.setdefault(self.lengths[k], []).append(k)
+        sizes = sorted(by, reverse=True)
+        out = {x: (by[x][0],) for x in sizes}
+        for at, x in enumerate(sizes):
+            if len(by[x]) > 1:
+                out.setdefault(2 * x, tuple(by[x][:2]))
+            for y in sizes[at + 1 :]:
+                out.setdefault(x + y, (by[x][0], by[y][0]))
+        return out
 
-    def take(self, item: int, bin_: int) -> None:
-        self.members[bin_].remove(item)
-        self._set(bin_, self.free[bin_] + self.lengths[item])
+    def _remove(self, bin_: int) -> None:
+        room = self.free[bin_]
+        if self._totals is not None:
+            own = self._totals[room]
+            for total in self._choices(bin_):
+                del own[total][bin_]
+                if not own[total]:
+                    del own[total]
+        del self._alike[room][bin_]
+        if not self._alike[room]:
+            del self._alike[room], self._rooms[bisect_left(self._rooms, room)]
 
-    def _set(self, bin_: int, free: int) -> None:
-        if (old := (self.free[bin_], bin_)) in self._room[(at := bisect_left(self._room, old)) : at + 1]:
-            del self._room[at]
-        self.free[bin_] = free
-        if free:
-            insort(self._room, (free, bin_))
+    def _add(self, bin_: int) -> None:
+        room = self.free[bin_]
+        if room not in self._alike:
+            self._alike[room] = {}
+            insort(self._rooms, room)
+        self._alike[room][bin_] = None
+        if self._totals is not None:
+            own = self._totals.setdefault(room, {})
+            for total in self._choices(bin_):
+                own.setdefault(total, {})[bin_] = None
 
-    def best_fit(self) -> None:
-        """Longest first, each into the bin it fills best, or a new one."""
-        for item in sorted(range(len(self.lengths)), key=lambda k: -self.lengths[k]):
-            at = bisect_left(self._room, (self.lengths[item], -1))
-            if at < len(self._room):
-                self.put(item, self._room[at][1])
+    def change(self, bin_: int, give: tuple[int, ...], get: tuple[int, ...]) -> None:
+        """Take the pieces ``give`` out of a bin and put ``get`` into it."""
+        members = self.members[bin_]
+        if members:
+            self._remove(bin_)
+            self.count -= 1
+        for k in give:
+            members.remove(k)
+        members.extend(get)
+        self.free[bin_] += sum(self.lengths[k] for k in give) - sum(self.lengths[k] for k in get)
+        if members:
+            self._add(bin_)
+            self.count += 1
+
+    def fill(self, order: Iterable[int]) -> None:
+        """Each piece, in the given order, into the bin it fills best, or a new one."""
+        for k in order:
+            at = bisect_left(self._rooms, self.lengths[k])
+            if at < len(self._rooms):
+                bin_ = next(iter(self._alike[self._rooms[at]]))
             else:
+                bin_ = len(self.members)
                 self.members.append([])
                 self.free.append(self.capacity)
-                self.put(item, len(self.members) - 1)
+            self.change(bin_, (), (k,))
+
+    def best_fit(self) -> None:
+        """Longest first, each into the bin it fills best, or a new one."""
+        self.fill(sorted(range(len(self.lengths)), key=lambda k: -self.lengths[k]))
 
     def improve(self) -> None:
-        """Step while the squared fill rises, over all underfull bins from the emptiest on, until the bound is met or a round changes nothing."""
-        sizes, free = np.array(self.lengths, dtype=np.int64), np.array(self.free, dtype=np.int64)
-        home = np.zeros(len(sizes), dtype=np.int64)
+        """Step over all underfull bins, from the emptiest on, until the bound is met or a round changes nothing."""
+        self._totals = {}
         for bin_, members in enumerate(self.members):
-            home[members] = bin_
-        left = sum(1 for m in self.members if m)
+            if members:
+                self._add(bin_)
         changed = True
         while changed:
             changed = False
-            for giver in [b for _, b in reversed(self._room)]:
-                while left > self.needed and self.members[giver] and self.free[giver] and self._step(giver, sizes, home, free):
+            for giver in [b for room in reversed(self._rooms) if room for b in self._alike[room]]:
+                while self.count > self.needed and self.members[giver] and self.free[giver] and self._step(giver):
                     changed = True
-                    left -= not self.members[giver]
-                if left <= self.needed:
+                if self.count <= self.needed:
                     return
 
-    def _move(self, items: tuple[int, ...], to: int, home: np.ndarray, free: np.ndarray) -> None:
-        for k in items:
-            of = int(home[k])
-            self.take(k, of)
-            free[of], home[k] = self.free[of], to
-        for k in items:
-            self.put(k, to)
-        free[to] = self.free[to]
-
-    def _step(self, giver: int, sizes: np.ndarray, home: np.ndarray, free: np.ndarray) -> bool:
-        """One move or swap out of ``giver`` that raises the sum of squared fills; ``home`` and ``free`` are kept up to date."""
-        mine = self.members[giver]
-        fill = self.capacity - self.free[giver]
-        for item in sorted(mine, key=lambda k: -self.lengths[k]):
-            at = bisect_left(self._room, (self.lengths[item], -1))
-            # Of the bins that hold it the fullest gains most, so none need be tried after it; the giver itself may come first.
-            for room_left, other in self._room[at : at + 2]:
-                if other != giver and self.members[other] and self.capacity - room_left + self.lengths[item] > fill:
-                    self._move((item,), other, home, free)
-                    return True
-        items = np.flatnonzero((free[home] > 0) & (home != giver))
-        if not len(items):
-            return False
-        theirs, frees = sizes[items], free[home[items]]
-        room = theirs + frees
-        least = theirs + np.maximum(0, fill - (self.capacity - frees))
-        # One piece or pair of each total length stands for all of it.
-        alike: dict[int, list[int]] = {}
-        for k in mine:
-            alike.setdefault(self.lengths[k], []).append(k)
-        given = {size: (same[0],) for size, same in alike.items()}
-        firsts = list(alike.values())
-        for x, a in enumerate(firsts):
-            pairs = [(a[0], b[0]) for b in firsts[x + 1 :]] + ([(a[0], a[1])] if len(a) > 1 else [])
-            for pair in pairs:
-                given.setdefault(self.lengths[pair[0]] + self.lengths[pair[1]], pair)
-        best = (0, None, None)
-        for size, own in given.items():
-            gain = np.where((size > least) & (room >= size), size - theirs, 0)
-            if gain[at := int(gain.argmax())] > best[0]:
-                best = (int(gain[at]), own, at)
-        if best[1] is None:
+    def _step(self, giver: int) -> bool:
+        """One move or exchange out of ``giver``: one that raises the sum of squared fills, else one that breaks a piece up."""
+        given = self._choices(giver)
+        found = self._filling(giver, given) or self._raising(giver, given) or self._even(giver, given)
+        if not found:
             return False
-        back = int(items[best[2]])
-        there = int(home[back])
-        self.take(back, there)
-        self._move(best[1], there, home, free)
-        self.put(back, giver)
-        home[back], free[giver] = giver, self.free[giver]
+        other, give, get = found
+        self.change(giver, give, get)
+        self.change(other, get, give)
         return True
 
+    def _partner(self, giver: int, room: int, back: int) -> int | None:
+        """A bin with so much room, but not ``giver``, that can give back a total of ``back`` (anything, if 0)."""
+        bins = self._totals[room].get(back, ()) if back else self._alike[room]
+        return next((b for b in bins if b != giver), None)
+
+    def _exchange(self, other: int, give: tuple[int, ...], back: int):
+        return other, give, self._choices(other)[back] if back else ()
+
+    def _filling(self, giver: int, given: dict[int, tuple[int, ...]]):
+        """The step that fills another bin to the last token, and most by it."""
+        for room in reversed(self._rooms):
+            # The squares rise if the other bin ends up fuller than the giver is now; a full one does.
+            for total, give in given.items():
+                if 0 < room <= total and (other := self._partner(giver, room, total - room)) is not None:
+                    return self._exchange(other, give, total - room)
+        return None
+
+    def _raising(self, giver: int, given: dict[int, tuple[int, ...]]):
+        """The step that puts most into another bin which ends up fuller than the giver is now."""
+        best, most, fill = None, 0, self.capacity - self.free[giver]
+        for room in reversed(self._rooms):
+            if room <= most:
+                break
+            least = max(most, fill - (self.capacity - room))
+            for total, give in given.items():
+                for more in range(min(room - 1, total), least, -1):
+                    if (other := self._partner(giver, room, total - more)) is not None:
+                        best, most = (other, give, total - more), more
+                        least = more
+                        break
+        return best and self._exchange(*best)
+
+    def _even(self, giver: int, given: dict[int, tuple[int, ...]]):
+        """A piece for two of a full bin that are as long together: no fill changes, but shorter pieces find a place more easily.
+
+        Full bins hold one piece less after it, so such steps, too, come to an end.
+        """
+        if 0 not in self._alike:
+            return None
+        for total, give in given.items():
+            if len(give) > 1:
+                continue
+            for other in self._totals[0].get(total, ()):
+                if len(pair := self._pair(other, total)) == 2:
+                    return other, give, pair
+        return None
+
+    def _pair(self, bin_: int, total: int) -> tuple[int, ...]:
+        by: dict[int, int] = {}
+        for k in self.members[bin_]:
+            if (rest := by.get(total - self.lengths[k])) is not None:
+                return rest, k
+            by.setdefault(self.lengths[k], k)
+        return ()
+
 
 def pack_lengths(lengths, capacity: int) -> list[list[int]]:
     """Indexes of ``lengths`` by bin."""
@@ -184,24 +244,50 @@ def pack(
 ) -> DataFrame:
     """Pieces of ``docs`` with their ``sequence_id`` and ``offset`` in it."""
     made = cut(pieces(docs, tokenizer, eos_id, seq_len).withColumn("__row", F.monotonically_increasing_id()))
-    part = made.filter(F.col("length") < seq_len)
-    cells = max(1, -(-part.count() // cell_items))
+    part = _in_cells(made, seq_len, cell_items)
     full = made.filter(F.col("length") >= seq_len).withColumns(
         {"sequence_id": F.col("__row") + F.lit(1 << 61), "offset": F.lit(0).cast("long")}
     )
 
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__row", ignore_index=True)
-        sequence, offset = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
+    def fill(group: pa.Table) -> pa.Table:
+        group = group.sort_by("__row")
         lengths = group["length"].to_numpy()
+        sequence, offset = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
+        cell = group["__cell"][0].as_py()
         for number, members in enumerate(pack_lengths(lengths, seq_len)):
-            sequence[members] = (int(group["__cell"].iloc[0]) << 32) + number
+            sequence[members] = (cell << 32) + number
             offset[members] = np.cumsum(lengths[members]) - lengths[members]
-        return group.drop(columns=["__cell", "__row"]).assign(sequence_id=sequence, offset=offset)
+        placed = group.drop_columns(["__cell", "__row"])
+        return placed.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    packed = (
-        part.withColumn("__cell", F.pmod(F.xxhash64("__row"), F.lit(cells)))
-        .groupBy("__cell")
-        .applyInPandas(fill, PIECES + ", sequence_id long, offset long")
-    )
+    packed = part.groupBy("__cell").applyInArrow(fill, PIECES + ", sequence_id long, offset long")
     return full.drop("__row").unionByName(packed)
+
+
+def _in_cells(made: DataFrame, seq_len: int, cell_items: int) -> DataFrame:
+    """The pieces shorter than a sequence, each with the number of its cell."""
+    part = made.filter(F.col("length") < seq_len)
+    cells = max(1, -(-part.count() // cell_items))
+    return part.withColumn("__cell", F.pmod(F.xxhash64("__row"), F.lit(cells)))
+
+
+def search_gain(
+    docs: DataFrame,
+    tokenizer: str = "byte_bpe_50k.json",
+    eos_id: int = 2,
+    seq_len: int = 1024,
+    cell_items: int = 16384,
+) -> DataFrame:
+    """One row: sequences of the pieces shorter than a sequence as the search began and ended, and the least that their tokens need."""
+    made = cut(pieces(docs, tokenizer, eos_id, seq_len).withColumn("__row", F.monotonically_increasing_id()))
+
+    def counted(group: pa.Table) -> pa.Table:
+        bins = Bins(group.sort_by("__row")["length"].to_numpy(), seq_len)
+        bins.best_fit()
+        began = bins.count
+        bins.improve()
+        return pa.table({"at_first": [began], "at_last": [bins.count], "tokens": [sum(bins.lengths)]})
+
+    each = _in_cells(made, seq_len, cell_items).groupBy("__cell").applyInArrow(counted, "at_first long, at_last long, tokens long")
+    sums = [F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("at_first", "at_last", "tokens")]
+    return each.agg(*sums).select("at_first", "at_last", F.ceil(F.col("tokens") / seq_len).cast("long").alias("at_least"))
