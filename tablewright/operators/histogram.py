@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablewright.plans.errors import BadRequest
 
@@ -42,6 +41,29 @@ def log_edges(low: float, high: float, n: int = LOG_EDGES) -> list[float]:
     return [low, *(2 ** (a + (b - a) * k / (n - 1)) for k in range(1, n - 1)), high]
 
 
+def _edges_below(x: Column, bounds: list[float]) -> Column:
+    """How many of the ascending ``bounds`` are less than ``x``.
+
+    Edges at equal ratios are found by a logarithm, which rounding may put one edge off; so the two edges on either side are compared too.
+    """
+    def counted(first: int, last: int) -> Column:
+        return sum(((F.lit(e) < x).cast("int") for e in bounds[first:last]), F.lit(0))
+
+    if len(bounds) < 5 or not _equal_ratios(bounds):
+        return counted(0, len(bounds))
+    low, step = math.log2(bounds[0]), (math.log2(bounds[-1]) - math.log2(bounds[0])) / (len(bounds) - 1)
+    guess = F.floor((F.log2(x) - low) / step).cast("int")
+    first = F.greatest(F.lit(0), F.least(guess - 1, F.lit(len(bounds) - 4)))
+    steps = F.array(*map(F.lit, bounds))
+    near = sum(((F.get(steps, first + k) < x).cast("int") for k in range(4)), first)
+    return F.when(x <= bounds[0], 0).otherwise(near)
+
+
+def _equal_ratios(bounds: list[float]) -> bool:
+    want = log_edges(bounds[0], bounds[-1], len(bounds)) if 0 < bounds[0] < bounds[-1] else []
+    return len(want) == len(bounds) and all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(want, bounds))
+
+
 def log2_histogram(df: DataFrame, column: str = "token_count", edges: int = LOG_EDGES, bounds: list[float] | None = None) -> DataFrame:
     """Non-empty bins of a logarithmic histogram: bin, bin_left, bin_right, bin_width, bin_center, count.
 
@@ -49,9 +71,9 @@ def log2_histogram(df: DataFrame, column: str = "token_count", edges: int = LOG_
     gets the width of the bin before. Nulls and NaN are left out.
     """
     x = F.col(_numeric(df, column)).cast("double")
-    bounds = bounds or log_edges(*extent(df, column), edges)
-    steps = F.array(*[F.lit(float(e)) for e in bounds])
-    below = F.size(F.filter(steps, lambda e: e < F.col("x")))
+    bounds = [float(e) for e in bounds or log_edges(*extent(df, column), edges)]
+    steps = F.array(*map(F.lit, bounds))
+    below = _edges_below(F.col("x"), bounds)
     counts = df.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x")).groupBy(below.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     left = F.when(F.col("bin") == 0, F.lit(1.0)).otherwise(F.get(steps, F.col("bin") - 1))
     right = F.get(steps, F.col("bin"))
@@ -75,8 +97,8 @@ def linear_histogram(df: DataFrame, column: str, bins: int = LINEAR_BINS) -> Dat
 def order_statistics(df: DataFrame, column: str, ranks: list[int], cells: int = 1024) -> dict[int, float]:
     """The exact values at the given ranks (from 0) of a column in ascending order, nulls and NaN left out.
 
-    Each pass counts the values in ``cells`` equal cells of what may still hold a rank, and keeps the cell that does, until its values are all
-    one. A pass combines on the map side, so memory and shuffle stay small whatever the number of values.
+    Each pass is one scan: it counts the values in ``cells`` equal cells of each span that may still hold a rank, and keeps the cells that do, until
+    their values are all one. A pass combines on the map side, so memory and shuffle stay small whatever the number of values.
     """
     x = F.col(_numeric(df, column)).cast("double")
     values = df.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
@@ -85,20 +107,22 @@ def order_statistics(df: DataFrame, column: str, ranks: list[int], cells: int =
         raise BadRequest(f"{column} has no values")
     open_, out = {(low, high, 0): sorted(set(ranks))}, {}
     while open_:
-        spans = list(open_)
-        rows = []
-        for k, (a, b, _) in enumerate(spans):
-            if a < b:
-                # Halves first, so that the cell's width can't overflow.
-                place = F.least(F.floor((F.col("x") / 2 - a / 2) / (b / 2 - a / 2) * cells), F.lit(cells - 1))
-                inside = values.filter(F.col("x").between(a, b)).groupBy(F.lit(k).alias("span"), place.alias("cell"))
-                rows.append(inside.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")))
-        found = reduce(DataFrame.unionByName, rows).orderBy("span", "cell").collect() if rows else []
+        for (a, b, _), own in open_.items():
+            if a == b:
+                out.update(dict.fromkeys(own, a))
+        spans = [s for s in open_ if s[0] < s[1]]
+        span, cell = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for k, (a, b, _) in enumerate(spans):  # they don't overlap
+            # Halves first, so that the cell's width can't overflow.
+            place = F.least(F.floor((F.col("x") / 2 - a / 2) / (b / 2 - a / 2) * cells), F.lit(cells - 1))
+            inside = F.col("x").between(a, b)
+            span, cell = F.when(inside, k).otherwise(span), F.when(inside, place).otherwise(cell)
+        found = []
+        if spans:
+            counted = values.select("x", span.alias("span"), cell.alias("cell")).filter("span is not null").groupBy("span", "cell")
+            found = counted.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("span", "cell").collect()
         following: dict[tuple[float, float, int], list[int]] = {}
         for k, (a, b, before) in enumerate(spans):
-            if a == b:
-                out.update(dict.fromkeys(open_[spans[k]], a))
-                continue
             for r in (r for r in found if r["span"] == k):
                 if own := [t for t in open_[spans[k]] if before <= t < before + r["n"]]:
                     following[(r["low"], r["high"], before)] = own

@@ -23,6 +23,12 @@ def text_measures(text: Column) -> list[Column]:
     ]
 
 
+def _text_sums(text: Column) -> list[Column]:
+    """``text_measures`` in a form that can be added up: the mean as its sum and number."""
+    ratio = X.non_alpha_ratio(text)
+    return [*text_measures(text)[:-1], F.sum(ratio).alias("ratio"), F.count(ratio).alias("ratios")]
+
+
 def language_counts(df: DataFrame, text: str = "text", detector: language.Detector = language.detected) -> DataFrame:
     """(lang, n) by detected language, most first, ties by name."""
     found = df.groupBy(detector(F.col(text)).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
@@ -40,30 +46,50 @@ def measures(
 ) -> DataFrame:
     """One row with all measures that the score reads.
 
-    One job passes over the whole table for counts and texts, one counts distinct ids and text digests, one the token lengths, and one
-    looks for repetition and languages in a sample of ``sample_rows`` (the whole table, if it is no larger) or, with None, in every row. Each
-    gives one row; those are put side by side.
+    One job passes over the whole table: it groups all counts and text measures by token length (and language), so that the quantile of the lengths comes
+    from the few groups. Another counts distinct ids and text digests. With ``sample_rows`` a third looks for repetition and languages in a
+    sample of so many rows (the whole table, if it is no larger); with None the first job does so in every row. Each gives one row; those are put side by side.
     """
     for name in (text, token_count):
         if name not in df.columns:
             raise BadRequest(f"the report needs a column {name}")
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    missing = F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*[A.null_count(f"`{c}`") for c in df.columns]))
-    one = df.agg(A.row_count().alias("total_rows"), missing.alias("missing"), *text_measures(F.col(text)))
     copies = [((A.row_count() - A.distinct_count(c, kinds[c])) if c in kinds else F.lit(0).cast("long")).alias(n) for c, n in ((id_, "duplicate_ids"), (text, "duplicate_texts"))]
-    two = df.agg(*copies)
-    three = tokens.outliers(df, token_count)
-    # The sample is told apart by its text and id; other columns need not be read.
-    plain = df.select(*[c for c in (id_, text) if c in kinds])
-    sample = plain if sample_rows is None else exact_sample(plain, sample_rows, seed)
-    judged = sample.select(repetition.repeats(F.col(text)).alias("r"), detector(F.col(text)).alias("lang"))
-    by_lang = judged.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("r").alias("k"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "lang", "n")))
-    pairs = F.transform(ordered, lambda x: F.struct(x["lang"], x["n"]))
-    four = by_lang.agg(F.map_from_entries(pairs).alias("lang_dist"), F.coalesce(F.sum("n"), F.lit(0)).alias("sample_n"), F.coalesce(F.sum("k"), F.lit(0)).alias("sample_count"))
-    whole = one
-    for part in (two, three, four):
-        whole = whole.crossJoin(F.broadcast(part))  # one row each
+    repeated, lang = F.count_if(repetition.repeats(F.col(text))).alias("sample_count"), detector(F.col(text))
+    keys = [F.col(token_count).alias("v"), *([] if sample_rows is not None else [lang.alias("lang")])]
+    nulls = F.array(*[A.null_count(f"`{c}`") for c in df.columns]).alias("nulls")
+    measured = _text_sums(F.col(text)) + ([] if sample_rows is not None else [repeated])
+    groups = tokens.upto_counts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), nulls, *measured))
+    names = [c for c in groups.columns if c not in ("v", "lang", "n", "nulls", "upto", "all", "ratio", "ratios")]
+    summed = [F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in names]
+    lines = [F.coalesce(F.sum(F.col("nulls")[k]), F.lit(0).cast("long")) for k in range(len(df.columns))]
+    wide = [
+        F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("total_rows"),
+        F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*lines)).alias("missing"),
+        F.coalesce(F.try_divide(F.sum("ratio"), F.sum("ratios")), F.lit(0.0)).alias("non_alpha_ratio"),
+        F.coalesce(F.min("v"), F.lit(0)).cast("long").alias("min_tokens"),
+        F.coalesce(F.max("v"), F.lit(0)).cast("long").alias("max_tokens"),
+        F.coalesce(F.sum(F.when(F.col("v") < tokens.SHORT, F.col("n"))), F.lit(0).cast("long")).alias("too_short"),
+        F.coalesce(F.sum(F.when(F.col("v") > tokens.LONG, F.col("n"))), F.lit(0).cast("long")).alias("too_long"),
+        *tokens.nearest_of_counts(),
+    ]
+    if sample_rows is None:
+        # All groups of a language, added up: few numbers, as are the groups.
+        found = F.array_sort(F.array_distinct(F.collect_list("lang")))
+        of = F.collect_list(F.struct("lang", "n"))
+        zero = F.lit(0).cast("long")
+        totals = F.transform(found, lambda x: F.struct((-F.aggregate(F.filter(of, lambda y: y["lang"] == x), zero, lambda t, y: t + y["n"])).alias("less"), x.alias("lang")))
+        langs = F.map_from_entries(F.transform(F.array_sort(totals), lambda x: F.struct(x["lang"], -x["less"])))
+        whole = groups.agg(*wide, *summed, langs.alias("lang_dist")).withColumn("sample_n", F.col("total_rows"))
+    else:
+        # The sample is told apart by its text and id; other columns need not be read.
+        sample = exact_sample(df.select(*[c for c in (id_, text) if c in kinds]), sample_rows, seed)
+        by_lang = sample.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"), repeated)
+        ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "lang")))
+        pairs = F.transform(ordered, lambda x: F.struct(x["lang"], -x["less"]))
+        third = by_lang.agg(F.map_from_entries(pairs).alias("lang_dist"), *[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(k) for c, k in (("n", "sample_n"), ("sample_count", "sample_count"))])
+        whole = groups.agg(*wide, *summed).crossJoin(F.broadcast(third))  # one row each
+    whole = whole.crossJoin(F.broadcast(df.agg(*copies)))  # one row each
     estimate = repetition.wilson(F.col("sample_count"), F.col("sample_n"), F.col("total_rows"))
     return whole.withColumn("repetition_estimate", estimate).withColumn("repetition", F.col("repetition_estimate.estimate_total")).drop("sample_n", "sample_count")
 

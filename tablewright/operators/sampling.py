@@ -15,13 +15,58 @@ _PREVIEW = ("id", "source", "added", "created", "text", "token_count")
 
 
 def exact_sample(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = 0) -> DataFrame:
-    """``n`` rows (all, if fewer) without replacement, by a hash of the whole row; equal rows may come together.
+    """``n`` rows (all, if fewer) without replacement, by a hash of the whole row, so the same however the rows are dealt out.
 
-    Plans to a top-n per task and one merge; no sort of the table.
+    Rows are counted below some hashes first, and only those below the least that leaves ``n`` go on: little more than ``n`` rows travel, however
+    many tasks there are. Where equal rows, which share a hash, make that many more, the last hash that counts is found first, and as many of its rows
+    as are still due are drawn by their place in ``df``.
     """
+    total = df.count()
+    if total <= n:
+        return df
+    name = _unused(df, "hash")
     # Maps and variants can't be hashed; the rest of a row tells it apart.
     plain = [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return df.orderBy(F.xxhash64(F.lit(seed), *plain)).limit(n)
+    marked = df.withColumn(name, F.xxhash64(F.lit(seed), *plain))
+    if not (edges := _edges(n, total)):  # not many more rows than asked for
+        return marked.orderBy(name).limit(n).drop(name)
+    below = marked.agg(*[F.count_if(F.col(name) <= e).alias(str(e)) for e in edges]).first()
+    edge = next((e for e in edges if below[str(e)] >= n), (1 << 63) - 1)
+    few = marked.filter(F.col(name) <= edge)
+    if edge in edges and below[str(edge)] <= 4 * n + 1000:
+        return few.orderBy(name).limit(n).drop(name)
+    due, last = n, None
+    for r in few.groupBy(name).count().orderBy(name).limit(n).toLocalIterator():  # n hashes hold n rows at least
+        last = r
+        if r["count"] >= due:
+            break
+        due -= r["count"]
+    alike = marked.filter(F.col(name) == last[name])
+    return marked.filter(F.col(name) < last[name]).unionByName(_by_place(alike, due, last["count"], seed)).drop(name)
+
+
+def _edges(n: int, total: int) -> list[int]:
+    """Hashes below which ``n`` of ``total`` rows lie with room for chance, and twice, four times, ... as many."""
+    share, out = (n + 10 * n**0.5 + 10) / total, []
+    while share < 1:
+        out.append(int(share * 2**64) - 2**63)
+        share *= 2
+    return out
+
+
+def _by_place(df: DataFrame, n: int, total: int, seed: int) -> DataFrame:
+    """``n`` of the ``total`` rows of ``df``, by a hash of their places."""
+    name = _unused(df, "place")
+    marked = df.withColumn(name, F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
+    for edge in _edges(n, total)[:1]:
+        marked = marked.filter(F.col(name) <= edge)
+    return marked.orderBy(name).limit(n).drop(name)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def created_text(kind: T.DataType) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 SCHEMA = "https://vega.github.io/schema/vega-lite/v5.json"
 #: Size of a chart, and ticks along x.
-WIDTH, HEIGHT, TICKS = 450, 250, 6
+WIDTH, HEIGHT, TICKS = 480, 300, 6
 
 
 def short(n: int) -> str:
@@ -32,7 +32,7 @@ def count_ticks(most: int) -> list[int]:
 
 
 def _axis(values: list[int], **more) -> dict:
-    return {"values": values, "format": "~s", "gridColor": "white", **more}
+    return {"values": values, "format": "~s", **more}
 
 
 def log_histogram(rows: Sequence, column: str, dataset: str, low: float, high: float) -> dict:
@@ -44,9 +44,9 @@ def log_histogram(rows: Sequence, column: str, dataset: str, low: float, high: f
         "width": WIDTH,
         "height": HEIGHT,
         "data": {"values": [{k: r[k] for k in ("bin_left", "bin_right", "bin_center", "count")} for r in rows]},
-        "mark": {"type": "bar", "opacity": 1, "color": "steelblue", "width": WIDTH / 50},
+        "mark": {"type": "bar", "width": WIDTH / (2 * max(1, len(rows)))},
         "encoding": {
-            "x": {"field": "bin_center", "type": "quantitative", "title": column, "scale": {"type": "log"}, "axis": _axis(ticks, tickCount=len(ticks), labelAngle=-45)},
+            "x": {"field": "bin_center", "type": "quantitative", "title": column, "scale": {"type": "log"}, "axis": _axis(ticks, tickCount=len(ticks))},
             "y": {"field": "count", "type": "quantitative", "title": "Count", "axis": _axis(count_ticks(max((r["count"] for r in rows), default=0)))},
             "tooltip": [{"field": f, "type": "quantitative"} for f in ("bin_left", "bin_right", "count")],
         },

@@ -160,7 +160,7 @@ def token_outlier_rows(spark, sf_dir):
 
 # Texts
 
-_CODE_SQL = "regexp_matches(text, '" + "|".join(f"({p})" for p, _ in X.CODE).replace("'", "''") + "')"
+_CODE_SQL = "regexp_matches(text, '" + "|".join(f"({p})" for p in X.CODE).replace("'", "''") + "')"
 _TEXT_SQL = {
     "enc_replacement": ("replacement_char", "CAST(coalesce(sum(len(regexp_extract_all(text, chr(65533)))), 0) AS BIGINT)"),
     "enc_mojibake": ("mojibake", "CAST(coalesce(sum(len(regexp_extract_all(text, '[ÃÂ][ -~]'))), 0) AS BIGINT)"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
@@ -57,6 +58,8 @@ class _Found:
     file: DatasetFile
 
 
+#: Schema jobs that run at a time while a catalogue is read.
+SCHEMA_JOBS = 16
 _NAME = re.compile(r"[^/\\\x00]+")
 
 
@@ -105,11 +108,17 @@ class Catalog:
                         yield _Found(slug, variant, version, folder, DatasetFile(files[0].getPath().toString(), files[0].getLen(), time))
 
     def _counts(self, paths: list[str]) -> dict[str, int]:
-        """Rows by file, in one job that reads no column."""
+        """Rows by file, in one job that reads no column; a file may also be a folder of part files."""
         if not paths:
             return {}
         rows = self.spark.read.schema("__none int").parquet(*paths)
-        return {r["f"]: r["n"] for r in rows.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        found = rows.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()
+        whole, by_tail = dict.fromkeys(paths, 0), {_tail(p): p for p in paths}
+        for r in found:
+            tail = _tail(r["f"])
+            own = by_tail.get(tail) or by_tail[tail.rpartition("/")[0]]
+            whole[own] += r["n"]
+        return whole
 
     def schema(self, path: str) -> tuple[ColumnSchema, ...]:
         return tuple(ColumnSchema(f.name, f.dataType.simpleString(), f.nullable) for f in self.spark.read.parquet(path).schema.fields)
@@ -117,10 +126,14 @@ class Catalog:
     def refresh(self) -> None:
         """Read the tree again. Versions are sorted by name, last first; variants without a version, and versions without a file, are left out."""
         found = list(self._walk())
-        counts = {_tail(k): n for k, n in self._counts([f.file.path for f in found]).items()}
+        paths = [f.file.path for f in found]
+        counts = self._counts(paths)
+        # Each file's footer is read by a job of its own; many jobs at a time, as one leaves the cluster idle.
+        with ThreadPoolExecutor(max_workers=SCHEMA_JOBS) as pool:
+            schemas = dict(zip(paths, pool.map(self.schema, paths)))
         tree: dict[str, dict[str, list[DatasetVersion]]] = {slug: {} for slug, _ in self._folders(self.root)}
         for f in found:
-            version = DatasetVersion(f.version, f.folder, f.file, self.schema(f.file.path), counts.get(_tail(f.file.path), 0))
+            version = DatasetVersion(f.version, f.folder, f.file, schemas[f.file.path], counts.get(f.file.path, 0))
             tree[f.slug].setdefault(f.variant, []).append(version)
         self._datasets = {
             slug: Dataset(slug, f"{self.root}/{slug}", tuple(DatasetVariant(v, tuple(sorted(vs, key=lambda x: x.version, reverse=True))) for v, vs in variants.items()))

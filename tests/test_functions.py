@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +106,56 @@ def test_language(spark):
     rows = [("the cat and the dog", "en"), ("le chat et les chiens", "fr"), ("der Hund und die Katze", "de"), ("el perro y los gatos", "es"), ("xyz", "unknown"), ("", "unknown")]
     df = spark.createDataFrame(rows, "text string, want string").withColumn("got", language.detected(F.col("text")))
     assert all(r.got == r.want for r in df.collect())
+
+
+def one(spark, text, *columns):
+    return spark.createDataFrame([(text,)], "text string").select(*[c(F.col("text")) for c in columns]).first()[:]
+
+
+def test_code_and_markup_equal_the_fixed_patterns(spark):
+    rng = random.Random(1)
+    marks = ["a", "b1", "1", "_", "(", ")", "{", "}", "=", " ", "\n", ";", "/", "*", "//", "/*", "*/", "#", '"', "'", ".", "<", ">", "def", "if", "try", "é", "\t", "=="]
+    texts = []
+    for left_out in ("", "#/", "#/=", "#/=;}", "#/=;(", "#/=<"):  # so that each pattern is at times the only one that could match
+        some = [m for m in marks if not any(c in m for c in left_out)] + ["/", "*"]
+        texts += ["".join(rng.choice(some) for _ in range(rng.randrange(0, 30))) for _ in range(6000)]
+    code, html = [re.compile(p) for p in X.CODE], re.compile(X.HTML)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select("text", X.is_code(F.col("text")), X.is_html(F.col("text"))).collect()
+    for text, is_code, is_html in got:
+        assert (is_code, is_html) == (any(p.search(text) for p in code), bool(html.search(text))), text
+
+
+def test_repeats_equal_python_on_random_words(spark):
+    rng, pattern = random.Random(2), re.compile(r"\b(\w+)(?:\s+\1){4,}\b", re.IGNORECASE)
+    parts = ["go", "Go", "x", " ", " ", "  ", "\n", "é", "É", "-", "goo"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(5, 25))) for _ in range(8000)]
+    texts += [" ".join(rng.choice(["go", "GO", "go", "goo"]) for _ in range(8)) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", repetition.repeats(F.col("text")).alias("r"))
+    assert all(r.r == bool(pattern.search(r.text)) for r in df.collect())
+
+
+@pytest.mark.parametrize("n,want", [(2, False), (5, True), (2000, True), (1_000_000, True)])
+def test_any_number_of_repeats(spark, n, want):
+    assert one(spark, "word " * n, repetition.repeats) == (want,)
+
+
+LONG = {
+    "letters": ("a" * 1_000_000 + " { = (", False, False),
+    "open brackets": ("<" * 1_000_000, False, False),
+    "open calls": ("f(" * 500_000 + "{", False, False),
+    "calls": ("f() " * 300_000 + "{", True, False),
+    "lines": (";" + "\n" * 1_000_000 + "{", False, False),
+    "comments": ("/* " * 300_000, False, False),
+    "quotations": ("''.x " * 200_000 + "\n(", False, False),
+    "brackets": ("(" * 1_000_000 + ") {", False, False),
+    "names": ("a1" * 500_000 + " {= (", False, False),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_junk_takes_no_time(spark, name):
+    text, is_code, is_html = LONG[name]
+    began = time.monotonic()
+    assert one(spark, text, X.is_code, X.is_html, repetition.repeats) == (is_code, is_html, False)
+    assert time.monotonic() - began < 10

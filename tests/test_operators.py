@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from tablewright.operators import histogram, profile, quality, sampling, tokens
 from tablewright.plans.errors import BadRequest
@@ -84,6 +84,40 @@ def test_samples(spark):
     assert sampling.exact_sample(df, 5000).count() == 1000
 
 
+def test_samples_of_many_equal_rows(spark):
+    few = spark.range(30, 40, 1, 1).withColumn("t", F.lit("x"))
+    alike = spark.range(0, 6000, 1, 16).select(F.lit(7).cast("long").alias("id"), F.lit("y").alias("t"))
+    for df in (alike, alike.unionByName(few), alike.unionByName(spark.range(100, 9000).withColumn("t", F.lit("z")))):
+        for seed in range(6):
+            got = sampling.exact_sample(df, 500, seed).collect()
+            assert len(got) == 500 and sum(r.id != 7 for r in got) == len({r.id for r in got} - {7})
+
+
+def test_sample_sends_few_rows_whatever_the_partitions(spark):
+    df = spark.range(0, 200_000, 1, 200).withColumn("text", F.repeat(F.lit("word "), 3))
+    filtered = sampling.exact_sample(df, 100, 3)
+    plan = filtered._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and filtered.count() == 100
+    edge = sampling._edges(100, 200_000)[0]
+    assert df.select(F.xxhash64(F.lit(3), "id", "text").alias("h")).filter(F.col("h") <= edge).count() < 400
+
+
+def test_histogram_edges_against_numpy_at_the_edges(spark):
+    for n in (2, 5, 50):
+        edges = histogram.log_edges(0.37, 91234.5, n)
+        values = sorted({v for e in edges for v in (e, np.nextafter(e, 0), np.nextafter(e, 1e9))} | {0.37, 91234.5, 1e-3, 1e6})
+        df = spark.createDataFrame([(float(v),) for v in values], "x double")
+        got = [r[0] for r in df.select(histogram._edges_below(F.col("x"), edges)).collect()]
+        assert got == np.searchsorted(edges, values, side="left").tolist()
+
+
+def test_quantiles_take_one_scan_a_pass(spark):
+    df = spark.range(100_000).select((F.col("id") * 7919 % 100_003).cast("double").alias("x"))
+    ordered = sorted(k * 7919 % 100_003 for k in range(100_000))
+    got = histogram.order_statistics(df, "x", [0, 25_000, 50_000, 99_999])
+    assert got == {k: ordered[k] for k in (0, 25_000, 50_000, 99_999)}
+
+
 def test_preview(spark):
     kind = "id long, source string, added string, created struct<start:string,end:string>, text string, token_count int, metadata struct<a:int,b:string>"
     rows = [(k, "s", "2024", ("x", "y" if k % 2 else None), "t", 3, (1, None) if k else None) for k in range(8)]
@@ -148,7 +182,6 @@ def test_report_of_odd_tables(spark):
     assert 0 <= row.score <= 100 and sum(row.lang_dist.values()) == 3
     with pytest.raises(BadRequest):
         quality.report(spark.range(3))
-    assert T is not None
 
 
 def test_extremes(spark):
