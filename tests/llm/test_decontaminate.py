@@ -71,9 +71,9 @@ def test_long_windows_alone(spark):
     assert any(r[5] for r in want) and not all(r[5] for r in want)
 
 
-def test_without_broadcast_and_empty_tables(spark):
+def test_in_slices_and_empty_tables(spark):
     docs, items = case()
-    made = D.judged(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), broadcast_bytes=0)
+    made = D.judged(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), broadcast_bytes=12_000)
     assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in made.collect()) == [r[:3] for r in brute(docs, items)]
     assert report(spark, [], items) == []
     assert report(spark, docs, []) == brute(docs, [])
@@ -93,3 +93,41 @@ def test_plan_is_native(spark):
     df = D.report(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+
+
+def test_spans_are_cut_out(spark):
+    docs, items = case()
+    df = spark.createDataFrame([d[:4] + (d[4],) for d in docs], DOCS)
+    made = D.without_spans(df, spark.createDataFrame(items, ITEMS))
+    assert made.columns == df.columns and made.count() == len(docs)
+    grams = set()
+    for _, t, *_ in items:
+        own = words(t)
+        n = min(10, len(own))
+        grams |= {tuple(own[k : k + n]) for k in range(len(own) - n + 1)} if n else set()
+
+    def plain(text):
+        if text is None:
+            return None
+        parts = re.findall(r"[^0-9A-Za-z\x80-\U0010ffff]*[0-9A-Za-z\x80-\U0010ffff]+", text)
+        w, hit = words(text), set()
+        for n in {len(g) for g in grams}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in grams:
+                    hit |= set(range(k, k + n))
+        return "".join(p for k, p in enumerate(parts) if k not in hit) + text[len("".join(parts)) :]
+
+    want = sorted((str(d[0]), plain(d[1]) or "") for d in docs)
+    assert sorted((str(r.doc_id), r.text or "") for r in made.collect()) == want
+    assert any(p != (d[1] or "") for d, (_, p) in zip(sorted(docs, key=lambda d: str(d[0])), want))
+
+
+def test_one_opening_in_a_thousand_items(spark):
+    opening = " ".join(f"o{k}" for k in range(12))
+    items = [(k, f"{opening} ending {k} " + " ".join(f"i{k}x{j}" for j in range(9)), 1) for k in range(1000)]
+    docs = [(k, f"some words {opening} and more", None, None, None) for k in range(40)] + [(k, "", None, None, None) for k in range(100, 300)]
+    docs += [(400, items[7][1], None, None, None)]
+    found, of = D.windows(spark.createDataFrame(items, ITEMS), 10)
+    assert found.filter(found.words[0] == "o0").count() == 1 and of.count() == 1000 * 14
+    got = {r.doc_id: (r.n_hit, len(r.items)) for r in D.judged(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {**{k: (12, 1000) for k in range(40)}, **{k: (0, 0) for k in range(100, 300)}, 400: (23, 1000)}
