@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import importlib.util
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -23,7 +26,9 @@ def shipped(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.applicationId not in _SHIPPED:
         package = Path(importlib.util.find_spec(__name__.partition(".")[0]).origin).parent
-        archive = os.path.join(tempfile.mkdtemp(prefix="tablewright-"), "tablewright_workers.zip")
+        folder = tempfile.mkdtemp(prefix="tablewright-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = os.path.join(folder, "tablewright_workers.zip")
         with zipfile.ZipFile(archive, "w") as out:
             for path in sorted(package.rglob("*.py")):
                 out.write(path, path.relative_to(package.parent))
@@ -35,8 +40,8 @@ def shipped(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Where that is unset, a single-machine session (as in tests) gets a temporary folder of its own; a cluster without
-    the setting is an error.
+    Where that is unset, a single-machine session (as in tests) gets a folder of its own in its warehouse, which goes when the program ends; a cluster
+    without the setting is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -44,7 +49,9 @@ def shared_folder(spark: SparkSession) -> str:
         if folder is None:
             if not (context.master == "local" or context.master.startswith("local[")):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="tablewright-checkpoint-")
+            warehouse = re.sub(r"^file:/*", "/", spark.conf.get("spark.sql.warehouse.dir"))
+            folder = f"{warehouse}/_tablewright-{context.applicationId}"
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
@@ -76,3 +83,26 @@ def text_blocks(texts: list[str | None], most: int = BLOCK_CHARS):
         held += n
     if first < len(texts):
         yield first, len(texts)
+
+
+def text_parts(text: str, most: int = BLOCK_CHARS):
+    """Yield (first, last) slices that make up ``text``, each of ``most`` characters at most, cut after white space where there is any."""
+    lo = 0
+    while lo < len(text):
+        hi = min(lo + most, len(text))
+        if hi < len(text):
+            hi = next((k for k in range(hi, lo, -1) if text[k - 1].isspace()), hi)
+        yield lo, hi
+        lo = hi
+
+
+def least_ids(ids: DataFrame, n: int, column: str = "doc_id") -> DataFrame:
+    """The ``n`` rows of ``ids``, in which no id repeats, whose ids' hashes are least.
+
+    They are counted first, and only those with a hash in the share that holds ``n`` (with room for chance: ten standard deviations) go on, so few rows travel.
+    """
+    order = F.xxhash64(F.lit("sample"), column)
+    share = (n + 10 * n**0.5 + 10) / max(1, ids.count())
+    if share < 1:
+        ids = ids.filter(order <= F.lit(int(share * 2**64) - 2**63))
+    return ids.orderBy(order).limit(n)

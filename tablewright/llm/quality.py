@@ -7,7 +7,8 @@ these teach the other view. Then both are calibrated on labelled documents kept
 combines them, so a view that tells nothing weighs nothing. Models are small arrays, sent with the scoring function.
 
 Defined cases: null text counts as empty, null metadata as a value of its own; several labels of one document count as the
-lowest; labels of one class only give that class to all; without labels everything scores 1; repeated rows are scored alike; an empty table
+lowest; of several rows with one id the first in order (of text, then the rest) teaches; a stated length that is no finite number counts as none;
+labels of one class only give that class to all; without labels everything scores 1; repeated rows are scored alike; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -20,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.common import crc_of_id, shipped
+from tablewright.llm.common import crc_of_id, cut, least_ids, shipped
 
 METADATA_BUCKETS = 256
 #: Documents are rejected below this score: well under the middle, as a good document lost is worse than a bad one kept.
@@ -67,7 +68,7 @@ def content_features(text: str | None) -> list[float]:
 
 def metadata_features(source: str | None, lang: str | None, n_chars: float | None) -> list[int]:
     """Buckets of the values that come with a page."""
-    size = "none" if n_chars is None or n_chars != n_chars else str(int(np.log2(max(1.0, float(n_chars)))))
+    size = "none" if n_chars is None or not np.isfinite(n_chars) else str(int(np.log2(max(1.0, float(n_chars)))))
     pairs = (("source", source), ("lang", lang), ("size", size), ("both", f"{source}/{lang}"))
     return [zlib.crc32(f"{k}={v}".encode("utf-8", "surrogatepass")) % METADATA_BUCKETS for k, v in pairs]
 
@@ -149,7 +150,7 @@ def fit(taught: pd.DataFrame, kept_apart: pd.DataFrame, free: pd.DataFrame) -> M
         return Model(None, None, None, float(taught["quality"].iloc[0]) if len(taught) else 1.0)
     if not len(kept_apart) or kept_apart["quality"].nunique() < 2:
         kept_apart = taught
-    both = [(np.array(f["content"].tolist(), dtype=float).reshape(len(f), -1), _metadata_matrix(f)) for f in (taught, kept_apart, free)]
+    both = [(_content_matrix(f["content"]), _metadata_matrix(f)) for f in (taught, kept_apart, free)]
     y, y_apart = (f["quality"].to_numpy(dtype=float) for f in (taught, kept_apart))
     spare = list(both[2]) if len(free) else [x[:0] for x in both[0]]
     views = cotrain(list(both[0]), y, spare)
@@ -165,6 +166,10 @@ def _content(texts: pd.Series) -> pd.Series:
     return pd.Series([content_features(t if isinstance(t, str) else None) for t in texts])
 
 
+def _content_matrix(lists: pd.Series) -> np.ndarray:
+    return np.array(lists.tolist(), dtype=float).reshape(len(lists), len(content_features(None)))
+
+
 def _sources(docs: DataFrame) -> DataFrame:
     """The columns that the views read, with nulls for those that ``docs`` lacks."""
     kinds = {"doc_id": "long", "text": "string", "source": "string", "lang": "string", "n_chars": "double"}
@@ -174,13 +179,13 @@ def _sources(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 6000, free_rows: int = 6000) -> Model:
     """A model from at most so many labelled and unlabelled documents; a fifth of the labelled ones are kept apart for calibration."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = F.xxhash64(F.lit("sample"), "doc_id")
     rows = _sources(shipped(docs))
-    ids = rows.select("doc_id").filter(F.col("doc_id").isNotNull()).join(known, "doc_id", "left")
-    chosen = ids.filter("quality is not null").orderBy(order).limit(labelled_rows).unionByName(ids.filter("quality is null").orderBy(order).limit(free_rows))
+    ids = cut(rows.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().join(known, "doc_id", "left"))
+    chosen = least_ids(ids.filter("quality is not null"), labelled_rows).unionByName(least_ids(ids.filter("quality is null"), free_rows))
+    # At most labelled_rows + free_rows ids.
+    found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("r"))
     content = F.pandas_udf(_content, "array<double>")
-    found = rows.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").withColumn("content", content("text")).drop("text")
-    found = found.withColumn("apart", crc_of_id() % 5 == 0).dropDuplicates(["doc_id"]).limit(labelled_rows + free_rows)
+    found = found.select("doc_id", "quality", content("r.text").alias("content"), "r.source", "r.lang", "r.n_chars", (crc_of_id() % 5 == 0).alias("apart"))
     frame = found.toPandas().sort_values("doc_id", ignore_index=True)
     taught = frame[frame["quality"].notna()]
     taught = taught.assign(quality=(taught["quality"] > 0).astype(float))
@@ -194,7 +199,7 @@ def scored(docs: DataFrame, model: Model, into: str = "quality_scores") -> DataF
     @F.pandas_udf("content double, metadata double, score double")
     def run(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
         frame = pd.DataFrame({"source": source, "lang": lang, "n_chars": n_chars})
-        made = sent.value.scores(np.array(_content(text).tolist(), dtype=float).reshape(len(frame), -1), _metadata_matrix(frame))
+        made = sent.value.scores(_content_matrix(_content(text)), _metadata_matrix(frame))
         return pd.DataFrame(made, columns=["content", "metadata", "score"])
 
     def own(name, kind):

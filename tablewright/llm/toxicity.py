@@ -4,10 +4,13 @@ A word is the mean of the vectors of its character n-grams and its own, so an un
 word it disguises. A window of ``WINDOW`` words is the mean of its words, classified by a linear softmax; vectors and softmax
 learn together, by Adagrad. Labels are given for documents, so each toxic document teaches by its most telling window, and
 each clean one by its most misleading window and a few others; a document's score is that of its strongest window, calibrated on
-training documents kept apart. For scoring, embeddings and softmax fold into one number per bucket, which is broadcast.
+training documents kept apart. For scoring, embeddings and softmax fold into one number per bucket, which is broadcast. A long text is scored
+part by part, cut between words, and its windows run over all parts; a worker holds one part's n-grams at a time.
 
-Defined cases: a null, empty or wordless text scores 0; several labels of one document count as the highest; if the labels show
-one class only, every text with words gets the score 1 or 0 of that class; without labels, 0; repeated rows are scored alike; an
+Long labelled documents teach too: a first, short training on the others finds the stretch of each that is most telling.
+
+Defined cases: a run of more than ``BLOCK_CHARS`` characters without white space counts as several words; a null, empty or wordless text scores 0; several labels of one document count as the highest; of several texts with one
+id the first in order teaches; labelled texts without a word teach nothing; if the labels show one class only, every text with words gets the score 1 or 0 of that class; without labels, 0; repeated rows are scored alike; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -18,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.llm.chargrams import WordGrams, words_only
-from tablewright.llm.common import shipped, text_blocks
+from tablewright.llm.common import cut, least_ids, shipped, text_blocks, text_parts
 
 ORDERS = (3, 4, 5)
 WINDOW = 8
@@ -44,6 +47,11 @@ class Model:
         """Log odds of each text's strongest window; minus infinity where there is no word."""
         out = np.full(len(texts), -np.inf)
         for first, last in text_blocks(texts):
+            if last == first + 1:
+                odds = self.word_odds(texts[first] or "")
+                if len(odds):
+                    out[first] = window_means(odds).max() + self.bias
+                continue
             points = [words_only(t or "") for t in texts[first:last]]
             ends = np.cumsum([len(p) for p in points])
             grams = WordGrams(np.concatenate(points), ORDERS, self.bits)
@@ -56,6 +64,22 @@ class Model:
                     out[first + k] = window_means(odds[edges[k] : edges[k + 1]]).max() + self.bias
         return out
 
+    def word_odds(self, text: str) -> np.ndarray:
+        """Log odds of each word, without the bias, made part by part."""
+        parts = [np.empty(0)]
+        for lo, hi in text_parts(text):
+            grams = WordGrams(words_only(text[lo:hi]), ORDERS, self.bits)
+            if grams.words:
+                parts.append(grams.means(self.gain, PRIOR))
+        return np.concatenate(parts)
+
+    def stretch(self, text: str, most_chars: int) -> str:
+        """About ``most_chars`` characters around the strongest window, cut between words."""
+        pieces = [p for lo, hi in text_parts(text, max(1, most_chars // 8)) if (p := text[lo:hi])]
+        best = int(self.strongest(pieces).argmax()) if self.gain.any() else len(pieces) // 2
+        lo = max(0, min(best - 4, len(pieces) - 8))
+        return "".join(pieces[lo : lo + 8])
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         top = self.strongest(texts)
         has_words = np.isfinite(top)
@@ -132,17 +156,19 @@ class _Bag:
 def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, bits: int = 18, size: int = 8, epochs: int = 48, rate: float = 2.0, floor: float = 2e-2, seed: int = 7) -> Model:
     """Train on whole texts with labels 0 and 1; ``prior`` is the toxic share where the texts come from, if they were chosen by label."""
     labels = np.asarray(labels, dtype=np.int64)
+    worded = np.array([bool((words_only(t) != 32).any()) for t in texts], dtype=bool)
+    texts, labels = [t for t, w in zip(texts, worded, strict=True) if w], labels[worded]
     if len(set(labels.tolist())) < 2:
         only = float(labels[0]) if len(labels) else 0.0
         return Model(np.zeros(1 << bits, np.float32), 0.0, 0.0, np.inf if only else -np.inf, bits)
     rng = np.random.default_rng(seed)
     apart = rng.random(len(texts)) < 0.3
-    if len(set(labels[~apart].tolist())) < 2 or len(set(labels[apart].tolist())) < 2:
+    if any(len(set(labels[side].tolist())) < 2 for side in (apart, ~apart)):
         apart[:] = False
     taught = np.flatnonzero(~apart)
     bag = _Bag([texts[k] for k in taught], bits)
     y = labels[taught]
-    first, last = np.array(bag.first), np.array(bag.last)
+    first, last = np.array(bag.first, dtype=np.int64), np.array(bag.last, dtype=np.int64)
     use = np.flatnonzero(last > first)
     embed = (rng.random((1 << bits, size), dtype=np.float32) - 0.5) / size
     soft = np.zeros((size, 2), np.float32)
@@ -206,19 +232,36 @@ def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, bits:
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 3000, most_chars: int = 8000) -> Model:
-    """A model from labelled documents: at most so many rows of each class, none longer than ``most_chars``.
+    """A model from labelled documents: at most so many of each class, by a hash of their ids.
 
-    ``docs`` (doc_id, text) holds the documents that may teach, ``labels`` (doc_id, toxic) their labels.
+    ``docs`` (doc_id, text) holds the documents that may teach, ``labels`` (doc_id, toxic) their labels. Of a text longer than ``most_chars`` the
+    driver gets the stretch of about that length around its strongest window by a model of the shorter ones (around its middle, where these show no or one class).
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64(F.lit("sample"), "doc_id")
-    prior = docs.select("doc_id").join(known, "doc_id").agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-    ids = docs.filter(F.length("text") <= most_chars).select("doc_id").join(known, "doc_id")
-    chosen = ids.filter("toxic > 0").orderBy(order).limit(toxic_rows).unionByName(ids.filter("toxic <= 0").orderBy(order).limit(clean_rows))
-    few = chosen.dropDuplicates(["doc_id"])
-    rows = docs.filter(F.length("text") <= most_chars).select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
-    taught = sorted(rows.limit(toxic_rows + clean_rows).collect(), key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in taught], np.array([int(r["toxic"] > 0) for r in taught], dtype=np.int64), prior)
+    ids = cut(docs.filter(F.length("text") > 0).select("doc_id").distinct().join(known, "doc_id"))
+    prior = ids.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
+    chosen = least_ids(ids.filter("toxic > 0"), toxic_rows).unionByName(least_ids(ids.filter("toxic <= 0"), clean_rows))
+    # At most toxic_rows + clean_rows ids.
+    rows = cut(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    short = rows.filter(F.length("text") <= most_chars).collect()
+    if rows.filter(F.length("text") > most_chars).isEmpty():
+        return fit(*_taught(short), prior)
+    first = fit(*_taught(short), prior, epochs=8)
+    sent = shipped(docs).sparkSession.sparkContext.broadcast((first.gain, first.bias, first.scale, first.shift, first.bits))
+
+    @F.pandas_udf("string")
+    def stretch(texts: pd.Series) -> pd.Series:
+        own = Model(*sent.value)
+        return pd.Series([own.stretch(t, most_chars) for t in texts])
+
+    long = rows.filter(F.length("text") > most_chars).select("doc_id", "toxic", stretch("text").alias("text")).collect()
+    return fit(*_taught(short + long), prior)
+
+
+def _taught(rows: list) -> tuple[list[str], np.ndarray]:
+    """Texts and labels in the order of ids."""
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    return [r["text"] for r in rows], np.array([int(r["toxic"] > 0) for r in rows], dtype=np.int64)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:

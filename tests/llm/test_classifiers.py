@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pandas as pd
 
 from tablewright.llm import langid, quality, toxicity
 
@@ -45,7 +44,7 @@ def test_language_counts_equal_brute_force(spark):
             for b in made.tolist():
                 want.setdefault(lang, np.full(1 << 10, 0.5))[b] += 1
     for k, lang in enumerate(model.languages):
-        assert np.allclose(model.log_p[:, k], np.log(want[lang] / want[lang].sum()), atol=1e-5)
+        assert np.allclose(model.log_p[k], np.log(want[lang] / want[lang].sum()), atol=1e-5)
 
 
 def test_more_languages_than_the_matrix_holds_at_full_bits(spark):
@@ -59,12 +58,116 @@ def test_more_languages_than_the_matrix_holds_at_full_bits(spark):
     assert few.bits == 16 and few.languages == ["en", "fr"]
 
 
+def test_only_letters_count_as_letters(spark):
+    rows = language_docs(40)
+    model = langid.train(spark.createDataFrame(rows, DOCS))
+    got = model.judge(["½ ²", "٣", "Ⅷ", "x", None, "", "\0", "ª"])
+    assert [g[0] == "und" for g in got] == [True, True, True, False, True, True, True, False]
+
+
+def test_language_scores_equal_brute_force(spark, monkeypatch):
+    rows = language_docs(60)
+    model = langid.train(spark.createDataFrame(rows, DOCS), bits=10)
+    texts = ["the which", "une vous être!!", "a", None, "?", "x" * 300, " the\n\nTHE 12 là  ", *[r[1] for r in rows[:30]]]
+
+    def plain(text):
+        import unicodedata
+
+        if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+            return "und", 0.0
+        kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in f" {text.lower()} ")
+        kept = " ".join(["", *kept.split(), ""])
+        found = [int(langid.buckets(langid.codes(kept[k : k + n]), n, 10)[0]) for n in (1, 2, 3) for k in range(len(kept) - n + 1)]
+        total = [sum(float(line[b]) for b in found) for line in model.log_p]
+        shown = [t / len(found) * min(len(found), 200) for t in total]
+        best = max(range(len(total)), key=lambda k: (total[k], -k))
+        return model.languages[best], 1 / sum(np.exp(s - shown[best]) for s in shown)
+
+    want = [plain(t) for t in texts]
+    for _ in range(2):
+        got = model.judge(texts)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-5)
+        monkeypatch.setattr(langid, "text_blocks", lambda t: ((k, k + 1) for k in range(len(t))))
+
+
 def test_language_without_anything_to_learn(spark):
     df = spark.createDataFrame([], DOCS)
     assert langid.train(df).predict("some text") == ("und", 0.0)
     assert df.select(langid.predicted(df, langid.train(df)).alias("p")).collect() == []
 
 
+def plain_toxicity(model, text):
+    """The score of a text, from the model's numbers alone, in plain Python."""
+    words = [w for w in "".join(c if c.isalnum() or c in "*@$_" else " " for c in (text or "").lower()).split(" ") if w]
+    if not words:
+        return 0.0
+    odds = []
+    for w in words:
+        points = np.array([32, *map(ord, w), 32], dtype=np.uint32)
+        found = []
+        for n in toxicity.ORDERS:
+            found += [int(toxicity_bucket(points[k : k + n], model.bits)) for k in range(len(points) - n + 1)]
+        found.append(whole_bucket(w, model.bits))
+        odds.append(sum(float(model.gain[b]) for b in found) / (len(found) + toxicity.PRIOR))
+    size = min(toxicity.WINDOW, len(odds))
+    top = max(sum(odds[k : k + size]) / size for k in range(len(odds) - size + 1)) + model.bias
+    return 1 / (1 + np.exp(-(model.scale * top + model.shift)))
+
+
+def toxicity_bucket(points, bits):
+    made = (0x9E3779B9 * len(points)) & 0xFFFFFFFF
+    for p in points.tolist():
+        made = (made ^ p) * 0x85EBCA6B & 0xFFFFFFFF
+        made ^= made >> 15
+    return made >> (32 - bits)
+
+
+def whole_bucket(word, bits):
+    total = 0
+    for k, c in enumerate(word):
+        mixed = (ord(c) + (k << 21) + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        total = (total + (mixed ^ (mixed >> 31))) & (1 << 64) - 1
+    return (total * 0xD6E8FEB86659FD93 & (1 << 64) - 1) >> (64 - bits)
+
+
+def test_toxicity_scores_equal_brute_force():
+    rng = random.Random(6)
+    taught = toxic_texts(120, rng)
+    model = toxicity.fit([t for t, _ in taught], np.array([y for _, y in taught]), epochs=8)
+    texts = [t for t, _ in taught[:40]] + ["idiot", "You, IDIOT!", "m0r*n é1 x_y", "", " ?", None, "a " * 30]
+    assert np.allclose(model.scores(texts), [plain_toxicity(model, t) for t in texts], atol=1e-5)
+
+
+def test_toxicity_of_labels_without_words_and_long_texts(spark):
+    for y in ([0, 1, 0, 1], [1, 1, 0, 1]):
+        assert toxicity.fit(["", "!?", " ", "..."], np.array(y)).scores(["a word", None]).tolist() == [0.0, 0.0]
+    assert toxicity.fit(["fine words", "", ""], np.array([0, 1, 1])).scores(["a word"]).tolist() == [0.0]
+    rng = random.Random(7)
+    clean = [sentences("en", 4000, rng) for _ in range(30)]
+    toxic = [t[:9000] + " idiot moron worthless idiot " + t[9000:] for t in clean]
+    rows = [(k, t, "en", None, None, None, None) for k, t in enumerate(clean + toxic)] + [(0, "idiot " * 9, "en", None, None, None, None)]
+    rows += [(100 + k, t, "en", None, None, None, None) for k, (t, _) in enumerate(toxic_texts(80, rng))]
+    labels = [(k, int(k >= 30)) for k in range(60)] + [(100 + k, int(k % 4 == 0)) for k in range(80)]
+    model = toxicity.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.scores(toxic).min() > model.scores(clean).max()
+    whole = model.scores(toxic[:3])
+    only_long = toxicity.train(spark.createDataFrame(rows[:60], DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert 0 <= only_long.scores(["idiot"])[0] <= 1
+    import tablewright.llm.common as common
+
+    assert np.allclose([scores_in_parts(model, t, common) for t in toxic[:3]], whole)
+
+
+def scores_in_parts(model, text, common):
+    """The score of a text that is cut into many parts."""
+    toxicity.text_parts = lambda t: common.text_parts(t, 500)
+    try:
+        return model.scores([text])[0]
+    finally:
+        toxicity.text_parts = common.text_parts
+
+
 def toxic_texts(n, rng, words=("idiot", "moron", "worthless")):
     made = []
     for k in range(n):
@@ -143,6 +246,55 @@ def test_quality_of_held_out_documents(spark):
     assert {r[0] for r in quality.scored(df, quality.train(df, labels.limit(0)), "q").select("q.score").collect()} == {1.0}
 
 
+def plain_content(text):
+    """The content features, by plain loops."""
+    raw = (text or "").encode()
+    words, n = raw.split(), max(1, len(raw))
+    count = max(1, len(words))
+    upper, lower = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    marks = [b for b in raw if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]
+    usual = [b for b in marks if chr(b) in "!\"',-.:;?"]
+    lines = raw.split(b"\n")
+    return [
+        np.log(1 + len(raw)), np.log(1 + len(words)), len(raw) / count / 10, upper / max(1, upper + lower), len(marks) / n, (len(marks) - len(usual)) / n,
+        raw.count(b"!") / count, (raw.count(b".") + raw.count(b",")) / count, sum(48 <= b <= 57 for b in raw) / n, sum(b > 127 for b in raw) / n,
+        raw.count(b"\n") / n, len(set(words)) / count, len(set(words)) / count**0.7, max((words.count(w) for w in set(words)), default=0) / count,
+        sum(a == b for a, b in zip(words, words[1:])) / count, (len(lines) - len(set(lines))) / len(lines), sum(len(w) == 1 for w in words) / count,
+        max((len(w) for w in words), default=0) / 50, float(not words),
+    ]
+
+
+def test_quality_scores_equal_brute_force(spark):
+    rows = [r[:1] + (r[1],) + r[2:] for r in quality_docs(300)] + [(900, None, None, None, None, None, None), (901, "é! \n\n é!", None, "s1", 5, None, None)]
+    labels = spark.createDataFrame([(k, int(k % 5 != 0)) for k in range(200)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, DOCS)
+    model = quality.train(df, labels)
+
+    def odds(view, x):
+        return sum(w * (v - m) / s for w, v, m, s in zip(view.w, x, view.middle, view.spread)) + view.w[-1]
+
+    for r in quality.scored(df, model, "q").collect():
+        metadata = [0.0] * quality.METADATA_BUCKETS
+        for k in quality.metadata_features(r.source, r.lang, r.n_chars):
+            metadata[k] = 1.0
+        each = [odds(c, [odds(v, x)]) for v, c, x in zip(model.views, model.calibration, (plain_content(r.text), metadata))]
+        want = [1 / (1 + np.exp(-x)) for x in (*each, odds(model.blend, each))]
+        assert np.allclose([r.q.content, r.q.metadata, r.q.score], want, atol=1e-9)
+
+
+def test_odd_metadata_and_repeated_ids():
+    assert quality.metadata_features("s", "en", float("inf")) == quality.metadata_features("s", "en", None) == quality.metadata_features("s", "en", float("nan"))
+    assert quality.metadata_features("s", "en", -5.0) == quality.metadata_features("s", "en", 1)
+
+
+def test_repeated_ids_teach_by_one_text(spark):
+    rows = quality_docs(200)
+    labels = spark.createDataFrame([(k, int(k % 5 != 0)) for k in range(200)], "doc_id long, quality int")
+    twice = rows + [(k, "zzz later in order", "en", None, None, None, None) for k in range(0, 200, 3) if (rows[k][1] or "") < "zzz"]
+    one, two = (quality.train(spark.createDataFrame(r, DOCS).repartition(n), labels) for r, n in ((rows, 2), (twice, 5)))
+    assert np.allclose(one.views[0].w, two.views[0].w)
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 40).astype(float)
@@ -163,4 +315,3 @@ def test_metadata_alone_does_not_need_columns(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert quality.scored(df, quality.train(df, labels), "q").select("q.score").first()[0] == 1.0
-    assert pd.DataFrame is not None
