@@ -1,7 +1,7 @@
 """URL filter: fixed rules first, then logistic regression on hashed character n-grams of host and path.
 
-The classifier learns from a small labelled URL table (``SEED_URLS``, or one of the caller's, at most ``most_urls`` rows), and its
-weights, 2**bits numbers, are broadcast. Host and path have n-grams of their own, so the same letters in both count apart.
+The classifier learns from a small labelled URL table (the file ``LABELLED``, or one of the caller's, of which ``most_urls`` rows at most, by a hash of
+the url), and its weights, 2**bits numbers, are broadcast. Host and path have n-grams of their own, so the same letters in both count apart.
 
 Host and path: the host runs from after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; the path from
 there up to ``?``, ``#`` or the end. A rule is host and path; it fits its host and all subdomains, where the url's path starts with the
@@ -13,51 +13,27 @@ empty path fits only a rule without a path; repeated rows are judged alike; an e
 
 from __future__ import annotations
 
+import csv
+from importlib import resources
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.llm.chargrams import buckets, codes
-from tablewright.llm.common import shipped
+from tablewright.llm.common import least_ids, shipped
 
 #: (host and path, verdict) of the production rules.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: Labelled URLs that teach the classifier.
-SEED_URLS = (
-    ("https://www.museum.example/collection/paintings", "allow"),
-    ("https://docs.library.example/guide/getting-started", "allow"),
-    ("https://news.city.example/2023/05/council-meeting", "allow"),
-    ("https://en.encyclopedia.example/wiki/photosynthesis", "allow"),
-    ("https://blog.garden.example/posts/pruning-roses", "allow"),
-    ("https://university.example/department/history/courses", "allow"),
-    ("https://recipes.kitchen.example/soup/lentil", "allow"),
-    ("https://weather.example/forecast/north", "allow"),
-    ("https://research.institute.example/papers/article-1043", "allow"),
-    ("https://forum.astronomy.example/topic/telescopes", "allow"),
-    ("https://www.example.org/en/41053", "allow"),
-    ("https://blog.example.com/en/27919.html", "allow"),
-    ("https://m.example.org/es/29531?page=2", "allow"),
-    ("http://www.example.com/fr/41503#top", "allow"),
-    ("https://health.example/advice/sleep", "allow"),
-    ("https://school.example/lessons/fractions", "allow"),
-    ("http://best-casino-bonus.example/win/jackpot", "block"),
-    ("http://cheap-pills-online.example/buy/viagra", "block"),
-    ("http://free-xxx-videos.example/adult/cams", "block"),
-    ("http://hot-adult-porn.example/xxx/gallery", "block"),
-    ("http://online-poker-slots.example/casino/play", "block"),
-    ("http://win-free-prize.example/claim/now", "block"),
-    ("http://replica-watches-cheap.example/buy/rolex", "block"),
-    ("http://payday-loans-fast.example/apply/cash", "block"),
-    ("http://crack-keygen-warez.example/download/serial", "block"),
-    ("http://torrent-warez-free.example/download/crack", "block"),
-    ("http://malware-update.example/install.exe", "block"),
-    ("http://login-verify-account.example/phishing/bank", "block"),
-    ("http://sexy-singles-chat.example/adult/dating", "block"),
-    ("http://bet-casino-free.example/slots/spin", "block"),
-    ("http://pills-viagra-discount.example/cheap/order", "block"),
-    ("http://spam-links-seo.example/buy/backlinks", "block"),
-)
+#: The labelled URL table that comes with the package: url, verdict.
+LABELLED = "url_labels.csv"
+
+
+def labelled_urls() -> list[tuple[str, str]]:
+    """The rows of the table that comes with the package."""
+    with resources.files(__package__).joinpath(LABELLED).open(newline="", encoding="utf-8") as lines:
+        return [(r["url"], r["verdict"]) for r in csv.DictReader(lines)]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -96,7 +72,7 @@ class Model:
         return float(1 / (1 + np.exp(-(self.weights[found].sum() / max(1.0, np.sqrt(len(found))) + self.bias))))
 
 
-def fit(rows: list[tuple[str, str, str]], bits: int = 15, orders: tuple[int, ...] = (3, 4, 5), ridge: float = 0.01, steps: int = 300) -> Model:
+def fit(rows: list[tuple[str, str, str]], bits: int = 15, orders: tuple[int, ...] = (3, 4, 5), ridge: float = 0.01, steps: int = 400, rate: float = 8.0) -> Model:
     """A model from (host, path, verdict) rows, by gradient descent with a ridge penalty."""
     rows = [r for r in rows if r[2] in ("allow", "block")]
     weights, bias = np.zeros(1 << bits), 0.0
@@ -108,24 +84,23 @@ def fit(rows: list[tuple[str, str, str]], bits: int = 15, orders: tuple[int, ...
         for _ in range(steps):
             odds = np.bincount(index, weights[flat], len(rows)) * scale + bias
             error = (1 / (1 + np.exp(-odds)) - y) / len(rows)
-            weights -= 1.0 * (np.bincount(flat, (error * scale)[index], 1 << bits) + ridge / len(rows) * weights)
-            bias -= 1.0 * error.sum()
+            weights -= rate * (np.bincount(flat, (error * scale)[index], 1 << bits) + ridge / len(rows) * weights)
+            bias -= rate * error.sum()
     return Model(weights, float(bias), bits, orders)
 
 
 def train(labelled: DataFrame, most_urls: int = 10_000) -> Model:
-    """A model from a labelled table (url, verdict) of at most ``most_urls`` rows."""
+    """A model from a labelled table (url, verdict), by at most ``most_urls`` of its different rows."""
+    rows = labelled.select(F.col("url").cast("string").alias("url"), "verdict").distinct()
+    rows = rows.select("url", "verdict", F.xxhash64("url", "verdict").alias("id"))
     host, path = split_url(F.col("url"))
-    rows = labelled.select(host, path, "verdict").limit(most_urls + 1).collect()
-    if len(rows) > most_urls:
-        raise ValueError(f"the labelled table has more than {most_urls} rows")
-    return fit([tuple(r) for r in rows])
+    return fit([tuple(r) for r in least_ids(rows, most_urls, "id").select(host, path, "verdict").collect()])
 
 
 def judged(pages: DataFrame, rules=RULES, model: Model | None = None, url: str = "url", threshold: float = 0.5) -> DataFrame:
     """``pages`` with columns host, path, rule, verdict and probability (of a block, by the method) in place of any so named."""
     spark = shipped(pages).sparkSession
-    model = model or train(spark.createDataFrame(list(SEED_URLS), "url string, verdict string"))
+    model = model or train(spark.createDataFrame(labelled_urls(), "url string, verdict string"))
     sent = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.bits, model.orders))
 
     @F.pandas_udf("double")
