@@ -72,7 +72,7 @@ class Model:
         return float(1 / (1 + np.exp(-(self.weights[found].sum() / max(1.0, np.sqrt(len(found))) + self.bias))))
 
 
-def fit(rows: list[tuple[str, str, str]], bits: int = 15, orders: tuple[int, ...] = (3, 4, 5), ridge: float = 0.01, steps: int = 400, rate: float = 8.0) -> Model:
+def fit(rows: list[tuple[str, str, str]], bits: int = 15, orders: tuple[int, ...] = (3, 4, 5), ridge: float = 0.01, steps: int = 1200, rate: float = 16.0) -> Model:
     """A model from (host, path, verdict) rows, by gradient descent with a ridge penalty."""
     rows = [r for r in rows if r[2] in ("allow", "block")]
     weights, bias = np.zeros(1 << bits), 0.0
