@@ -7,19 +7,20 @@ SCHEMA = "vec_id long, embedding array<float>, score double, members string"
 
 def brute(rows, k, query):
     """{query id: [(id, distance)]} over the rows that take part."""
-    kept = {}
-    for vec_id, v, *_ in rows:
-        if vec_id is None or v is None or any(x is None or not np.isfinite(x) for x in v) or not any(v):
-            continue
-        kept.setdefault(vec_id, []).append(tuple(np.float32(x) for x in v))
-    sizes = [len(v) for vs in kept.values() for v in vs]
+    kept = [
+        (vec_id, np.array([np.float32(x) for x in v], float))
+        for vec_id, v, *_ in rows
+        if vec_id is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    ]
+    sizes = [len(v) for _, v in kept]
     width = max(set(sizes), key=lambda n: (sizes.count(n), n), default=0)
-    kept = {i: min(v for v in vs if len(v) == width) for i, vs in kept.items() if any(len(v) == width for v in vs)}
+    kept = [(i, v) for i, v in kept if len(v) == width]
     out = {}
-    for q in filter(query, kept):
-        d = [(float(np.sqrt(((np.array(v, float) - np.array(kept[q], float)) ** 2).sum())), i) for i, v in kept.items() if i != q]
-        out[q] = [(i, s) for s, i in sorted(d)[:k]]
-    return out
+    for place, (q, own) in enumerate(kept):
+        if query(q):
+            d = [(float(np.sqrt(((v - own) ** 2).sum())), i) for k_, (i, v) in enumerate(kept) if k_ != place]
+            out.setdefault(q, []).append([(i, s) for s, i in sorted(d)[:k]])
+    return {q: lists[0] if len(lists) == 1 else sorted(lists) for q, lists in out.items()}
 
 
 def got(found):
@@ -74,3 +75,31 @@ def test_queue_goes_to_the_nearest_leaves_first():
         assert len(set(found)) == 10
         assert [(t, int(own[k, t])) for t in range(3)] == sorted(found[:3])
         assert len(forest.search(sample[k], 1000)) == 3 * 16
+
+
+def test_rows_that_share_an_id_all_count(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k % 7 * 10, rng.standard_normal(4).astype("float32").tolist(), None, None) for k in range(40)] + [(5, [1.0, 2.0, 3.0, 4.0], None, None)] * 3
+    want = brute(rows, 6, lambda i: True)
+    found = ann.neighbours(spark.createDataFrame(rows, SCHEMA), lambda c: c >= 0, k=6).collect()
+    assert len(found) == 43 * 6
+    for q, lists in want.items():
+        mine = sorted((r.rank, r.vec_id, round(r.score, 9)) for r in found if r.query_id == q)
+        assert mine == sorted((n + 1, i, round(s, 9)) for one in lists for n, (i, s) in enumerate(one))
+
+
+def test_queries_in_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.standard_normal(8).astype("float32").tolist(), None, None) for k in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    one, many = (got(ann.neighbours(df, lambda c: c % 3 == 0, leaf_rows=100, ask_rows=n)) for n in (1000, 30))
+    assert one == many and len(one) == 200
+
+
+def test_recall_at_production_parameters(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()]
+    want = brute(rows, 10, lambda i: i % 100 == 0)
+    mine = got(ann.neighbours(df, lambda c: c % 100 == 0))
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in mine[q]}) for q in want)
+    assert hits / (10 * len(want)) >= 0.9
