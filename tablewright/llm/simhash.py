@@ -35,6 +35,8 @@ BLOCKS = tuple(((1 << hi) - (1 << lo)) for lo, hi in pairwise((0, 13, 26, 39, 52
 #: A key with more fingerprints than this is split by further bits first.
 LONG_RUN = 8192
 _HASHES = 200_000
+#: A key with more rows than this is joined by broadcast; but never more than MOST_HEAVY keys are (some MB).
+HEAVY, MOST_HEAVY = 100_000, 100_000
 
 
 def _votes(hashes: list[int]) -> np.ndarray:
@@ -160,34 +162,67 @@ def links(nodes: DataFrame, most: int = 3) -> DataFrame:
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
 
-        def whole():
-            return tuple(np.concatenate(x) for x in zip(*held, strict=True))
-
-        def batch_of(rows):
-            t, key, fp = rows
+        def batch_of():
+            t, key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
             found = _links_of(key, t, fp.view(np.uint64), most).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
-            size += batch.num_rows
-            if size < 50_000:
-                continue
-            t, key, fp = whole()
-            last = int(np.flatnonzero((t != t[-1]) | (key != key[-1]))[-1]) + 1 if (t != t[-1]).any() or (key != key[-1]).any() else 0
-            if last:
-                yield batch_of((t[:last], key[:last], fp[:last]))
-            held, size = [(t[last:], key[last:], fp[last:])], len(t) - last
+            t, key, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            # All but the run that may go on in the next batch is linked now; a long run is only gathered.
+            starts = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0)) + 1
+            if held and (held[-1][0][-1], held[-1][1][-1]) != (t[0], key[0]):
+                yield batch_of()
+                held = []
+            if len(starts):
+                last = int(starts[-1])
+                held.append((t[:last], key[:last], fp[:last]))
+                yield batch_of()
+                held = [(t[last:], key[last:], fp[last:])]
+            else:
+                held.append((t, key, fp))
         if held:
-            yield batch_of(whole())
+            yield batch_of()
 
     return dealt.select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(run, "u long, v long").distinct()
 
 
+def _by_key(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``one``, which has a row for each key and in ``rows_of_key`` the number of rows that have it.
+
+    A key with more than ``HEAVY`` of the ``total`` rows would make one task's work of them, so such keys are broadcast; there are fewer than total / HEAVY of them.
+    """
+    plain = one.drop("rows_of_key")
+    if total <= HEAVY:
+        return rows.join(plain, key)
+    most = F.lit(max(HEAVY, total // MOST_HEAVY))
+    heavy = F.broadcast(one.filter(F.col("rows_of_key") > most).drop("rows_of_key"))
+    light = rows.join(heavy.select(key), key, "left_anti").join(one.filter(F.col("rows_of_key") <= most).drop("rows_of_key"), key)
+    return light.unionByName(rows.join(heavy, key))
+
+
+def pivot_counts(nodes: DataFrame, most: int = 3) -> DataFrame:
+    """One row: pairs of different fingerprints that share a key, how many of them the pivot tables leave, and how many are near. For reports: all pairs are made."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in _PAIRS]
+    dealt = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"))
+
+    def run(table: pa.Table) -> pa.Table:
+        fps = table["fp"].to_numpy().view(np.uint64)
+        pivots = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int16)
+        left = near = 0
+        for k in range(len(fps) - 1):
+            fits = np.abs(pivots[k + 1 :] - pivots[k]).max(axis=1) <= most
+            left += int(fits.sum())
+            near += int((np.bitwise_count(fps[k + 1 :][fits] ^ fps[k]) <= most).sum())
+        return pa.table({"pairs": [len(fps) * (len(fps) - 1) // 2], "left_by_pivots": [left], "near": [near]})
+
+    each = dealt.groupBy("t", "key").applyInArrow(run, "pairs long, left_by_pivots long, near long")
+    return each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "left_by_pivots", "near")])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, root) for each node of ``edges`` (u > v) that isn't itself the smallest of its component.
 
@@ -203,11 +238,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("rows_of_key"))
+        large = _by_key(both, least, "u", 2 * seen[0]).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter(F.col("u") > F.col("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") > F.col("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows_of_key"))
+        moved = _by_key(large, low, "u", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") > F.col("v"))
         now = cut(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         if (mark_now := mark(now)) == seen:
             return now.select("u", F.col("v").alias("root"))
@@ -220,7 +255,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def _rooted(docs: DataFrame, most: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of each row, and (fp, least, root) of each distinct fingerprint."""
     made = cut(fingerprints(docs, shingle))
-    nodes = cut(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows_of_key")))
     root = components(links(nodes.select("fp"), most))
     named = nodes.join(root.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return made, named
@@ -230,7 +265,8 @@ def near_components(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFra
     """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest doc_id of the component."""
     made, named = _rooted(docs, most, shingle)
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return made.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.join(smallest, "root").select("fp", "component_id", "rows_of_key")
+    return _by_key(made, by_fp, "fp", made.count()).select("doc_id", "fp", "component_id")
 
 
 #: Most bytes of exceptions that one_of_each sends to every executor.

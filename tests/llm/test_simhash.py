@@ -2,7 +2,6 @@ import random
 import re
 
 import xxhash
-from pyspark.sql import functions as F
 
 from tablewright.llm import simhash
 
@@ -182,4 +181,19 @@ def test_plan_has_no_cross_join(spark):
     docs = spark.createDataFrame([(1, "a b c", "en", 1, 1)], SCHEMA)
     plan = simhash.near_components(docs)._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
-    assert F is not None
+
+
+def test_heavy_keys_go_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HEAVY", 20)
+    rows = rows_of_all_kinds() + [(10_000 + k, "", None, None, None) for k in range(150)] + [(20_000 + k, "the same words", None, None, None) for k in range(60)]
+    got = simhash.near_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.doc_id), r.fp % (1 << 64), str(r.component_id)) for r in got) == expected(rows)
+    star = spark.range(1, 300).selectExpr("id as u", "0L as v")
+    assert {(r.u, r.root) for r in simhash.components(star).collect()} == {(k, 0) for k in range(1, 300)}
+
+
+def test_pivots_discard_pairs_and_lose_none(spark):
+    rng = random.Random(8)
+    fps = {f ^ (1 << b) for f in (rng.getrandbits(63) & ~simhash.BLOCKS[0] & ~simhash.BLOCKS[1] for _ in range(400)) for b in rng.sample(range(30, 60), 2)}
+    row = simhash.pivot_counts(spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")).first()
+    assert row.pairs > 20 * row.left_by_pivots >= 20 * row.near > 0
