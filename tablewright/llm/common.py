@@ -56,6 +56,27 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
+class Folder:
+    """A folder of written tables, on any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm, self._top = spark.sparkContext._jvm, path
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, part: str):
+        return self._jvm.org.apache.hadoop.fs.Path(self.path(part))
+
+    def path(self, part: str) -> str:
+        return f"{self._top}/{part}" if part else self._top
+
+    def whole(self, part: str) -> bool:
+        """Whether a table was written to its end."""
+        return bool(self._fs.exists(self._path(f"{part}/_SUCCESS")))
+
+    def delete(self, part: str) -> None:
+        self._fs.delete(self._path(part), True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget its lineage."""
     shared_folder(df.sparkSession)

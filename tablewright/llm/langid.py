@@ -103,9 +103,9 @@ class Model:
                 total[owner[starts], k] += np.add.reduceat(line[bucket], starts, dtype=np.float64)
         return total, number, batch.letters
 
-    def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
-        """Language, score, and whether the text is likely enough to be in that language, for each text."""
-        out: list[tuple[str, float, bool]] = []
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool, int]]:
+        """Language, score, whether the text is likely enough to be in that language, and the number of n-grams that tell, for each text."""
+        out: list[tuple[str, float, bool, int]] = []
         for first, last in text_blocks(texts):
             # A text longer than a block is cut between words; each n-gram within a word is in one part.
             parts = [(k, t[lo:hi]) for k, t in enumerate(texts[first:last]) for lo, hi in (text_parts(t) if t else ())]
@@ -121,14 +121,14 @@ class Model:
             out += [self._choice(*row) for row in zip(total, number.tolist(), letters.tolist(), strict=True)]
         return out
 
-    def _choice(self, total: np.ndarray, n: int, letters: bool) -> tuple[str, float, bool]:
+    def _choice(self, total: np.ndarray, n: int, letters: bool) -> tuple[str, float, bool, int]:
         if not self.languages or not letters:
-            return UNKNOWN, 0.0, False
+            return UNKNOWN, 0.0, False, 0
         shown = total / n * min(n, SHOWN)
         odds = np.exp(shown - shown.max())
         best = int(total.argmax())
         learned = self.usual[best] - total[best] / n <= FAR + FAR_SHORT / n**0.5
-        return self.languages[best], float(odds[best] / odds.sum()), bool(learned)
+        return self.languages[best], float(odds[best] / odds.sum()), bool(learned), n
 
 
 def train(labelled: DataFrame, bits: int = 16, rows_per_language: int = 1500) -> Model:
@@ -186,12 +186,26 @@ def train(labelled: DataFrame, bits: int = 16, rows_per_language: int = 1500) ->
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> Column:
-    """A struct column (lang_pred, score, learned) for ``docs``; texts unlike all learned languages have learned false."""
+    """A struct column (lang_pred, score, learned, n_grams) for ``docs``; texts unlike all learned languages have learned false."""
     sent = shipped(docs).sparkSession.sparkContext.broadcast((model.languages, model.log_p, model.bits, model.usual))
 
-    @F.pandas_udf("lang_pred string, score double, learned boolean")
+    @F.pandas_udf("lang_pred string, score double, learned boolean, n_grams long")
     def run(texts: pd.Series) -> pd.DataFrame:
         own = Model(*sent.value)
-        return pd.DataFrame(own.judge([t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "score", "learned"])
+        return pd.DataFrame(own.judge([t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "score", "learned", "n_grams"])
 
     return run(F.col(text).cast("string"))
+
+
+#: A stated language is held to be wrong if another is found with this score, by so many n-grams (some 200 letters).
+SURE, SURE_GRAMS = 0.99, 600
+
+
+def accepted(found: Column, stated: Column, model: Model, languages: tuple[str, ...] | None = None) -> Column:
+    """Whether a document stays: in a learned language, one of ``languages`` (any, if None), and not surely in another than is stated.
+
+    ``found`` is what ``predicted`` gives. A stated language that wasn't learned, or none, is not held against a text.
+    """
+    other = stated.cast("string").isin(model.languages) & (found["lang_pred"] != stated) & (found["score"] >= SURE) & (found["n_grams"] >= SURE_GRAMS)
+    fine = found["learned"] & ~F.coalesce(other, F.lit(False))
+    return fine if languages is None else fine & found["lang_pred"].isin(*languages)

@@ -1,6 +1,9 @@
 import zlib
 
+import corpus_pipeline
+import pytest
 from corpus_pipeline import STAGES, language_stage, run
+from pyspark.sql import functions as F
 from test_decontaminate import brute as leaks
 from test_packing import plain_ids
 from test_simhash import plain_components, plain_fingerprint
@@ -10,6 +13,14 @@ from tablewright.llm import langid, queries
 SMALL = "/root/testdata/sf0.001"
 
 
+def plainly_accepted(model, rows):
+    """Which rows the language stage keeps, by the model's findings one by one."""
+    for r in rows:
+        lang, score, learned, n = model.judge([r.text])[0]
+        wrong = r.lang in model.languages and r.lang != lang and score >= 0.99 and n >= 600
+        yield learned and not wrong
+
+
 def test_stages_do_what_they_say(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns = docs.columns
@@ -29,7 +40,7 @@ def test_stages_do_what_they_say(spark, tmp_path):
             good = [k for k, q in labels.items() if q == 1]
             assert sum(k in kept for k in good) >= 0.97 * len(good)
         if name == "language":
-            assert kept == {r.doc_id for r in before if langid._LETTER.search(r.text or "")}
+            assert kept == {r.doc_id for r, fine in zip(before, plainly_accepted(langid.train(docs), before)) if fine}
         if name == "near_copies":
             root = plain_components([plain_fingerprint(r.text) for r in before])
             least = {}
@@ -78,4 +89,62 @@ def test_language_stage_rejects_by_the_model(spark):
     }
     odd = spark.createDataFrame([(k, t, None) for k, t in texts.items()], "doc_id long, text string, lang string")
     kept = {r.doc_id for r in language_stage(spark, docs.unionByName(odd), SMALL).collect()}
-    assert kept == {r.doc_id for r in docs.collect() if langid._LETTER.search(r.text or "")} | {-4}
+    assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")} | {-4}
+
+
+def test_language_stage_rejects_wrongly_stated_languages(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    long = docs.filter("length(text) > 1000")
+    french, english = (long.filter(f"lang = '{k}'").select((-10 - F.col("doc_id")).alias("doc_id"), "text").limit(5) for k in ("fr", "en"))
+    wrong = french.withColumn("lang", F.lit("en")).unionByName(english.withColumn("lang", F.lit("de")))
+    unsaid = french.select((F.col("doc_id") - 100_000).alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"))
+    strange = english.select((F.col("doc_id") - 200_000).alias("doc_id"), "text", F.lit("xx").alias("lang")).limit(1)
+    every = docs.unionByName(wrong).unionByName(unsaid)
+    kept = {r.doc_id for r in language_stage(spark, every, SMALL).collect()}
+    assert not kept & {r.doc_id for r in wrong.collect()} and kept >= {r.doc_id for r in unsaid.collect()}
+    assert kept >= {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    model = langid.train(docs)
+    found = strange.withColumn("f", langid.predicted(strange, model))
+    assert found.filter(langid.accepted(F.col("f"), F.col("lang"), model)).count() == 1
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("fr",))
+    only = language_stage(spark, docs, SMALL)
+    assert {r.lang for r in only.collect()} == {"fr"}
+
+
+def test_a_named_run_goes_on_and_leaves_nothing_but_its_result(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda _: str(tmp_path))
+    calls, stages = [], corpus_pipeline.STAGES
+
+    def counted(name, stage):
+        def called(*args):
+            calls.append(name)
+            if name == "leaks" and calls.count("leaks") == 1:
+                raise RuntimeError("an executor too many was lost")
+            return stage(*args)
+
+        return name, called
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(*s) for s in stages])
+    with pytest.raises(RuntimeError):
+        run(spark, SMALL, "one")
+    assert sorted(p.name for p in (Path(tmp_path) / "pipeline-one").iterdir()) == ["2-near_copies"]
+    got = run(spark, SMALL, "one")
+    assert calls == [*(n for n, _ in stages[:4]), "leaks", "packing"]
+    assert sorted(p.name for p in (Path(tmp_path) / "pipeline-one").iterdir()) == ["4-packing"]
+    again = run(spark, SMALL, "one")
+    assert len(calls) == 6 and again.count() == got.count() > 0
+
+
+def test_stages_with_ids_of_several_texts(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    one, two = ("Some fine words here, and more of the same sort. " * 20, "Quite another text that stands beside it, though with no other id. " * 20)
+    rows = [(1, one, "en", "s", 900), (1, two, "en", "s", 900), (1, one, "en", "t", None), (2, one, "en", "s", 900), (None, two + " x", "en", None, None), (None, two + " x", "en", None, None)]
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "not in any of them, as far as these words go")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = run(spark, str(tmp_path)).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    root = plain_components([plain_fingerprint(r[1]) for r in rows])
+    assert sum(r.piece == 0 for r in got) == len(set(root.values()))
