@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in the shared folder and hands
 on what it reads back. All but the last return the columns of the documents they got.
+
+A stage's result is deleted once the next one's is written whole; what stays is the last one's. A run that has a name goes on, when it is called again,
+after the last stage that was written whole.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.llm import bestfit, decontaminate, langid, quality, simhash
-from tablewright.llm.common import private, shared_folder
+from tablewright.llm.common import Folder, private, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,12 +24,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.scored(docs, model, into).filter(F.col(into)["score"] >= quality.KEEP_AT).select(*docs.columns)
 
 
+#: Languages that the corpus is to hold; None stands for all that the labelled documents show.
+LANGUAGES: tuple[str, ...] | None = None
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; ``und`` goes, and so do texts unlike all that was learned."""
+    """Documents in a wanted language by what naive Bayes finds: not ``und``, not unlike all that was learned, not surely in another language than they state."""
     model = langid.train(docs)
     into = private("language")
     found = docs.withColumn(into, langid.predicted(docs, model))
-    return found.filter(F.col(into)["learned"]).select(*docs.columns)
+    return found.filter(langid.accepted(F.col(into), F.col("lang"), model, LANGUAGES)).select(*docs.columns)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +63,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents of ``sf_dir``."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """Apply all stages to the documents of ``sf_dir``. ``name`` tells runs apart, and lets one that broke off go on; without it each call is a run of its own."""
+    folder = Folder(spark, f"{shared_folder(spark)}/pipeline-{name or uuid.uuid4().hex}")
+    at = [f"{k}-{stage}" for k, (stage, _) in enumerate(STAGES)]
+    done = max((k for k, part in enumerate(at) if folder.whole(part)), default=-1)
+    for k, (_, stage) in enumerate(STAGES):
+        if k <= done:
+            continue
+        docs = spark.read.parquet(folder.path(at[k - 1]) if k else f"{sf_dir}/documents.parquet")
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(folder.path(at[k]))
+        if k:
+            folder.delete(at[k - 1])
+    return spark.read.parquet(folder.path(at[-1]))
