@@ -11,6 +11,7 @@ from tablewright.plans import plotspec
 from tablewright.plans.cache import Cache, TTL_SECONDS, request_key
 from tablewright.plans.errors import BadRequest
 from tablewright.sources.catalog import Catalog
+from tablewright.streaming.watch import trend
 
 
 class Engine:
@@ -47,6 +48,10 @@ class Engine:
     def read(self, dataset: str, version: str, variant: str = "original") -> DataFrame:
         return self.spark.read.parquet(self.catalog.file_path(dataset, variant, version))
 
+    def sweep(self) -> int:
+        """Drop results whose time is over; returns how many."""
+        return self.analyses.sweep() + self.reports.sweep()
+
     # Requests
 
     def analyse(self, dataset: str, version: str, operations: list[dict], variant: str = "original", filters: list | None = None) -> dict:
@@ -66,7 +71,7 @@ class Engine:
         return [r.asDict() for r in sampling.preview(self.read(dataset, version, variant), rows, seed).collect()]
 
     def plot(self, dataset: str, version: str, operations: list[dict], variant: str = "original") -> dict:
-        """The Vega-Lite specification of one plot: log_histogram (also: histogram), linear_histogram or boxplot."""
+        """The Vega-Lite specification of one plot: log_histogram (also: histogram), linear_histogram, boxplot, or line (with ``time`` and ``every``)."""
         if len(operations) != 1:
             raise BadRequest("a plot takes exactly one operation")
         operation, df = operations[0], self.read(dataset, version, variant)
@@ -81,6 +86,11 @@ class Engine:
             return plotspec.linear_histogram(histogram.linear_histogram(df, column, operation.get("bins", histogram.LINEAR_BINS)).collect(), column, dataset)
         if op == "boxplot":
             return plotspec.boxplot(histogram.box_stats(df, column).first(), column, dataset)
+        if op == "line":
+            if operation.get("time") not in df.columns or column not in df.columns:
+                raise BadRequest("a line needs a column and a column of times")
+            rows = trend(df, operation["time"], column, operation.get("every", "1 day")).orderBy("start")
+            return plotspec.line(rows.collect(), column, dataset)  # one row for each window of time
         raise BadRequest(f"unknown plot {op!r}")
 
     def quality(self, dataset: str, version: str, variant: str = "original") -> dict:

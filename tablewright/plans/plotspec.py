@@ -80,3 +80,19 @@ def boxplot(row, column: str, dataset: str) -> dict:
         "data": {"values": [{k: row[k] for k in ("min", "low_whisker", "q1", "median", "q3", "high_whisker", "max")}]},
         "layer": [{"mark": m, "encoding": e} for m, e in layers],
     }
+
+
+def line(rows: Sequence, column: str, dataset: str) -> dict:
+    """A line over time from rows (start, rows, total), and the number of rows beside it."""
+    values = [{"start": r["start"].isoformat(), "rows": r["rows"], "total": r["total"]} for r in rows]
+    return {
+        "$schema": SCHEMA,
+        "title": f"'{column}' over time in {dataset}",
+        "data": {"values": values},
+        "mark": {"type": "line", "point": True},
+        "encoding": {
+            "x": {"field": "start", "type": "temporal", "title": "Time"},
+            "y": {"field": "total", "type": "quantitative", "title": column},
+            "tooltip": [{"field": f} for f in ("start", "rows", "total")],
+        },
+    }

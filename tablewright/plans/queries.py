@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.functions import language, repetition, scoring, text as X
+from tablewright.functions import content, language, repetition, scoring, text as X
 from tablewright.operators import histogram, profile, quality, sampling, tokens
+from tablewright.sources import sinks
 from tablewright.sources.adapters import corpus, spread
 from tablewright.streaming.watch import trend
 
@@ -204,6 +205,46 @@ for _kind, _from in _SOURCES_SQL.items():
             _QUERIES[_name + _kind] = _text_query(_kind, _column)
             _ORACLES[_name + _kind] = f"SELECT {_sql} AS {_column} FROM {_from}"
 
+_LONG_SQL = "(SELECT CASE WHEN doc_id % 50 = 0 THEN repeat('a', 20000) || ' { = (' || text WHEN doc_id % 50 = 1 THEN repeat('f(', 10000) || '{' ELSE text END AS text FROM documents) AS d"
+
+
+@registered(f"SELECT count(*) FILTER ({_CODE_SQL}) AS code_like, count(*) FILTER (regexp_matches(text, '<[^>]+>')) AS html_like FROM {_LONG_SQL}")
+def code_like_long(spark, sf_dir):
+    """Some texts begin with, or are, long runs of letters and of open brackets."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    long = F.when(F.col("doc_id") % 50 == 0, F.concat(F.repeat(F.lit("a"), 20000), F.lit(" { = ("), "text")).when(F.col("doc_id") % 50 == 1, F.concat(F.repeat(F.lit("f("), 10000), F.lit("{"))).otherwise(F.col("text"))
+    return docs.select(long.alias("text")).agg(F.count_if(X.is_code(F.col("text"))).alias("code_like"), F.count_if(X.is_html(F.col("text"))).alias("html_like"))
+
+
+# Kinds of content
+
+
+@registered("SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(text, '{p}')) AS {k}" for k, p in content.PERSONAL.items()) + ", count(*) FILTER (" + " OR ".join(f"regexp_matches(text, '{p}')" for p in content.PERSONAL.values()) + ") AS any_kind FROM documents")
+def personal_data(spark, sf_dir):
+    """Documents that hold personal data or secrets, by kind."""
+    docs = spread(table(spark, sf_dir, "documents").select("text"))
+    flags = {k: F.coalesce(content.personal(F.col("text"), k), F.lit(False)) for k in content.PERSONAL}
+    marked = docs.select(*[f.alias(k) for k, f in flags.items()])
+    return marked.agg(*[F.count_if(k).alias(k) for k in flags], F.count_if(F.greatest(*flags)).alias("any_kind"))
+
+
+@registered(
+    f"WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '{content.WORD}')) AS words, greatest(len(regexp_extract_all(text, '{content.SENTENCE_END}')), 1) AS sentences, len(regexp_extract_all(text, '{content.VOWELS}')) AS v FROM documents) "
+    f"SELECT doc_id, words, sentences, greatest(v, words) AS syllables, CASE WHEN words > 0 THEN {content.EASE}::DOUBLE - {content.PER_SENTENCE}::DOUBLE * (words::DOUBLE / sentences) - {content.PER_WORD}::DOUBLE * (greatest(v, words)::DOUBLE / words) END AS ease FROM c"
+)
+def readability(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", content.readability(F.col("text")).alias("r")).select("doc_id", "r.words", "r.sentences", "r.syllables", "r.ease")
+
+
+@registered(
+    "SELECT CASE WHEN text IS NULL OR NOT regexp_matches(text, '\\S') THEN 'empty' WHEN regexp_matches(text, '<[^>]+>') THEN 'html' WHEN regexp_matches(text, '\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}') THEN 'log' "
+    f"WHEN {_CODE_SQL} THEN 'code' ELSE 'text' END AS kind, count(*) AS n FROM {_SOURCES_SQL['_injected']} GROUP BY 1"
+)
+def content_kinds(spark, sf_dir):
+    return _texts(spark, sf_dir, "_injected").groupBy(content.kind_of(F.col("text")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Repetition
 
 _W = r"[\p{L}\p{N}_]"
@@ -220,6 +261,13 @@ def repetition_flag(spark, sf_dir):
     return docs.filter(repetition.repeats(F.col("text"))).select("id")
 
 
+@registered("SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 9 = 0")
+def repetition_injected(spark, sf_dir):
+    """Words repeated 5,000 times, put beside texts of one word."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("x "), F.repeat(F.lit("again "), 5000), F.lit("y"))).otherwise("again").alias("text"))
+    return docs.filter(repetition.repeats(F.col("text"))).select(F.col("doc_id").cast("string").alias("id"))
+
+
 def _wilson_sql(n: str, k: str, total: str) -> str:
     """SQL expressions for the estimate, from names of columns that exist and are not zero."""
     p, zz = f"({k} / {n})", "(1.96 * 1.96)"
@@ -354,6 +402,18 @@ def quality_report(spark, sf_dir):
     return made.select(F.col("total_rows").alias("row_count"), *plain, F.round("non_alpha_ratio", 9).alias("non_alpha_ratio"), *ends, F.size("lang_dist").cast("long").alias("langs"))
 
 
+@registered(
+    _MEASURES_SQL
+    + " SELECT array_to_string(list_filter([CASE WHEN (duplicate_ids + duplicate_texts) / total_rows > 0.01 THEN 'Duplicated ids or texts (' || printf('%.1f', 100.0 * (duplicate_ids + duplicate_texts) / total_rows) || '%)' END, 'A column lacks many values (100.0%)', "
+    "CASE WHEN (replacement_char + mojibake + control_chars) / total_rows > 0.05 THEN 'Encoding damage, occurrences per row (' || printf('%.1f', 100.0 * (replacement_char + mojibake + control_chars) / total_rows) || '%)' END, "
+    "CASE WHEN non_alpha_ratio > 0.3 THEN 'Many characters are no letters (' || printf('%.1f', 100.0 * non_alpha_ratio) || '%)' END, CASE WHEN repetition / total_rows > 0.02 THEN 'Texts that repeat one word (' || printf('%.1f', 100.0 * repetition / total_rows) || '%)' END, "
+    "CASE WHEN langs > 2 THEN langs || ' languages are mixed' END], lambda x: x IS NOT NULL), '; ') AS issues, "
+    "array_to_string(list_filter([CASE WHEN duplicate_ids + duplicate_texts = 0 THEN 'No duplicates' END, CASE WHEN non_alpha_ratio < 0.1 THEN 'Texts are mostly letters' END, CASE WHEN langs = 1 THEN 'One language throughout' END], lambda x: x IS NOT NULL), '; ') AS strengths FROM m"
+)
+def quality_issues(spark, sf_dir):
+    return _report(spark, sf_dir).select(F.array_join("issues", "; ").alias("issues"), F.array_join("strengths", "; ").alias("strengths"))
+
+
 # Histograms
 
 _EDGES_SQL = "(SELECT list_transform(range(0, 50), lambda k: CASE WHEN k = 0 THEN lo WHEN k = 49 THEN hi ELSE pow(2, log2(lo) + (log2(hi) - log2(lo)) * k / 49) END) AS e FROM (SELECT min(x) AS lo, max(x) AS hi FROM v))"
@@ -403,6 +463,29 @@ def preview_random5(spark, sf_dir):
     return sampling.preview(documents(spark, sf_dir))
 
 
+@registered("SELECT least(count(*), 5) AS rows, 0 AS unlike FROM documents")
+def preview_rows_are_those_of_the_table(spark, sf_dir):
+    """How many rows a preview has, and how many of them differ from the document of their id in any field."""
+    shown = sampling.preview(documents(spark, sf_dir)).alias("p")
+    whole = documents(spark, sf_dir).alias("d")
+    same = (F.col("p.text") == F.col("d.text")) & (F.col("p.source") == F.col("d.source")) & (F.col("p.token_count") == F.col("d.token_count"))
+    joined = whole.join(F.broadcast(shown), "id", "right")  # five rows
+    return joined.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(same, F.lit(False))).alias("unlike"))
+
+
+@registered('SELECT \'{"r_regionkey":\' || r_regionkey || \',"r_name":"\' || r_name || \'"}\' AS json FROM region')
+def rows_as_json(spark, sf_dir):
+    return sinks.as_json(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+
+
+@registered("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id || ', ' || coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END, 'None') END AS created FROM events")
+def created_as_text(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    span = F.struct(F.col("user_id").alias("start"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("end"))
+    made = e.select("event_id", F.when(F.col("event_id") % 3 != 0, span).alias("created"))
+    return made.select("event_id", sampling.created_text(made.schema["created"].dataType).alias("created"))
+
+
 @registered("SELECT least(count(*), 100) AS rows FROM orders")
 def sample_exact_n(spark, sf_dir):
     return sampling.exact_sample(table(spark, sf_dir, "orders"), 100, seed=1).distinct().agg(F.count(F.lit(1)).alias("rows"))
