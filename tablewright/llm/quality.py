@@ -3,7 +3,7 @@
 One view sees the text's content (shares of punctuation, capitals, digits and marks, word repetition, lengths), the other the
 page's metadata (source, language, stated length). Each is a logistic regression. They start from a bounded sample of labelled
 documents; for several rounds each names the unlabelled sample documents it is surest of, in proportion to the classes, and
-these teach the other view. Then both are calibrated on labelled documents kept apart and a logistic regression over the calibrated log odds
+these teach the other view. How far down its ranking a view is listened to is measured on labelled documents, so one that tells nothing teaches nothing. Then both are calibrated on labelled documents kept apart and a logistic regression over the calibrated log odds
 combines them, so a view that tells nothing weighs nothing. Models are small arrays, sent with the scoring function.
 
 Defined cases: null text counts as empty, null metadata as a value of its own; several labels of one document count as the
@@ -121,20 +121,41 @@ class Model:
         return np.column_stack([_sigmoid(odds[0]), _sigmoid(odds[1]), _sigmoid(self.blend.odds(np.column_stack(odds)))])
 
 
+#: A view's labels are taken where its ranking of labelled rows, each ranked by a model that hasn't seen it, is right so often, over so many rows at least.
+TRUSTED, TRUSTED_ROWS = 0.98, 10
+
+
+def trusted(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The shares of rows, from the lowest and from the highest score on, whose labels a classifier over ``x`` may be trusted to give."""
+    half = np.arange(len(y)) % 2 == 0
+    if any(len(set(y[side])) < 2 for side in (half, ~half)):
+        return 0.0, 0.0
+    place = np.empty(len(y))
+    for side in (half, ~half):
+        odds = Logistic().fit(x[~side], y[~side]).odds(x[side])
+        place[side] = np.argsort(np.argsort(odds, kind="stable")) / len(odds)
+    found = []
+    for ordered in (1 - y[np.argsort(place, kind="stable")], y[np.argsort(-place, kind="stable")]):
+        right = np.flatnonzero(np.cumsum(ordered) >= TRUSTED * np.arange(1, len(y) + 1)) + 1
+        found.append(float(right[-1]) / len(y) if len(right) and right[-1] >= TRUSTED_ROWS else 0.0)
+    return found[0], found[1]
+
+
 def cotrain(views: list[np.ndarray], y: np.ndarray, free: list[np.ndarray], rounds: int = 5, share: float = 0.05) -> tuple[Logistic, Logistic]:
-    """Two classifiers, each taught by the labels and by what the other was surest of among the unlabelled rows."""
+    """Two classifiers, each taught by the labels and by what the other was surest of, and can be trusted in, among the unlabelled rows."""
     given = [(np.empty(0, np.int64), np.empty(0)), (np.empty(0, np.int64), np.empty(0))]
     made = [Logistic().fit(x, y) for x in views]
+    reach = [trusted(x, y) for x in views]
     for _ in range(rounds):
         fresh = []
         for k in (0, 1):
             odds = made[k].odds(free[k])
-            open_ = np.setdiff1d(np.arange(len(odds)), given[1 - k][0])
+            order = np.argsort(odds, kind="stable")
+            lows, highs = order[: int(reach[k][0] * len(odds))], order[len(odds) - int(reach[k][1] * len(odds)) :][::-1]
             n = int(share * len(odds))
             n_low = max(1, round(n * (1 - y.mean()))) if n else 0
-            order = open_[np.argsort(odds[open_], kind="stable")]
-            low, high = order[:n_low], order[max(n_low, len(order) - (n - n_low)) :]
-            low, high = low[odds[low] < -1], high[odds[high] > 1]
+            known = given[1 - k][0]
+            low, high = lows[~np.isin(lows, known)][:n_low], highs[~np.isin(highs, known) & ~np.isin(highs, lows)][: n - n_low]
             fresh.append((np.concatenate([low, high]), np.concatenate([np.zeros(len(low)), np.ones(len(high))])))
         for k in (0, 1):
             given[1 - k] = tuple(np.concatenate(x) for x in zip(given[1 - k], fresh[k], strict=True))

@@ -311,6 +311,21 @@ def test_views_teach_each_other():
     assert ((taught.odds(x) > 0) == test).mean() > ((alone.odds(x) > 0) == test).mean()
 
 
+def test_a_view_that_tells_nothing_teaches_nothing():
+    rng = np.random.default_rng(1)
+    y = (rng.random(400) < 0.85).astype(float)
+    told, noise = np.column_stack([y * 2 - 1 + 0.5 * rng.standard_normal(400)]), rng.standard_normal((400, 3))
+    assert quality.trusted(noise, y)[0] == 0 and quality.trusted(noise, y)[1] < 0.2
+    low, high = quality.trusted(told, y)
+    assert low > 0.02 and high > 0.5
+    free = rng.standard_normal((3000, 3))
+    hidden = (rng.random(3000) < 0.85).astype(float)
+    content = np.column_stack([hidden * 2 - 1 + 0.5 * rng.standard_normal(3000)])
+    taught, _ = quality.cotrain([told, noise], y, [content, free])
+    alone = quality.Logistic().fit(told, y)
+    assert ((taught.odds(content) > 0) == hidden).mean() >= ((alone.odds(content) > 0) == hidden).mean() - 0.005
+
+
 def test_metadata_alone_does_not_need_columns(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
