@@ -95,8 +95,13 @@ _ALL = (
 )
 
 
+def packing_search_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report on op5_best_fit: sequences before and after its search, and the least possible."""
+    return bestfit.search_gain(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in _ALL}
+    return {f.__name__: f for f in (*_ALL, packing_search_gain)}
 
 
 _OP6_SQL = r"""

@@ -67,7 +67,7 @@ def test_run_and_odd_rows(spark, tmp_path):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries() if k.startswith("op")) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
