@@ -76,6 +76,13 @@ class Folder:
     def delete(self, part: str) -> None:
         self._fs.delete(self._path(part), True)
 
+    def files(self) -> list[str]:
+        """Names of the data files directly in the folder."""
+        if not self._fs.exists(self._path("")):
+            return []
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._path("")) if s.isFile())
+        return sorted(n for n in names if not n.startswith(("_", ".")))
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget its lineage."""

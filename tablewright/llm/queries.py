@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import ann, bestfit, chat, decontaminate, langid, quality, simhash, tokenout, toxicity, urlfilter
-from tablewright.llm.common import crc_of_id
+from tablewright.llm import ann, bestfit, chat, decontaminate, langid, quality, simhash, tokenout, toxicity, upsert, urlfilter
+from tablewright.llm.common import crc_of_id, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +83,20 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "host", "path", "rule", "verdict", "probability")
 
 
+def op11_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients, changes = _table(spark, sf_dir, "clients"), _table(spark, sf_dir, "client_changes")
+    crc = lambda c: F.crc32(c.cast("string").cast("binary"))
+    folder, most = f"{shared_folder(spark)}/clients-{uuid.uuid4().hex}", upsert.file_rows(clients.count())
+    upsert.write_table(clients.filter(crc(F.col("client_id")) % 7 > 3), "client_id", folder, most)
+
+    def decide(first):
+        h = crc(first) % 16
+        return h <= 7, F.coalesce(F.col("op") == "D", F.lit(False)) | (crc(F.col("change_id")) % 8 < h)
+
+    stayed = upsert.upsert(spark, folder, clients.schema, "client_id", changes, ["seq", "change_id"], ["source", "segment", "city", "balance"], decide, most)
+    return upsert.report(spark, folder, clients.schema, stayed)
+
+
 _ALL = (
     op1_ann,
     op2_toxicity,
@@ -92,6 +108,7 @@ _ALL = (
     op8_decontamination,
     op9_quality,
     op10_urls,
+    op11_upsert,
 )
 
 
