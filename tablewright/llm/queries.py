@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import ann, bestfit, chat, decontaminate, langid, quality, simhash, tokenout, toxicity, upsert, urlfilter
+from tablewright.llm import ann, bestfit, chat, decontaminate, langid, quality, simhash, spelling, tokenout, toxicity, upsert, urlfilter
 from tablewright.llm.common import crc_of_id, shared_folder
 
 
@@ -97,6 +97,10 @@ def op11_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.report(spark, folder, clients.schema, stayed)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 _ALL = (
     op1_ann,
     op2_toxicity,
@@ -109,6 +113,7 @@ _ALL = (
     op9_quality,
     op10_urls,
     op11_upsert,
+    op13_spelling,
 )
 
 
