@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import ann, bestfit, chat, decontaminate, langid, quality, simhash, spelling, tokenout, toxicity, upsert, urlfilter
+from tablewright.llm import ann, bestfit, chat, decontaminate, langid, maintext, quality, simhash, spelling, tokenout, toxicity, upsert, urlfilter
 from tablewright.llm.common import crc_of_id, shared_folder
 
 
@@ -97,6 +97,12 @@ def op11_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.report(spark, folder, clients.schema, stayed)
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    made = pages.select("page_id", "url", maintext.extracted(pages, maintext.train()).alias("text"))
+    return made.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
@@ -113,6 +119,7 @@ _ALL = (
     op9_quality,
     op10_urls,
     op11_upsert,
+    op12_main_text,
     op13_spelling,
 )
 
