@@ -40,4 +40,6 @@ PAGES = [
     f"{_HEAD}<body><div class='outer'><div class='inner'><article>⟦<div><p>{_A}</p></div><div><p>{_D}</p></div>⟧</article></div></div><div class='comments'>{_B}</div></body></html>",
     f"{_HEAD}<body><div><div><p>⟦{_A}</p><p>{_B}⟧</p></div></div><div class='banner'>{_C}</div><div class='notice'>{_D}</div><div class='menu'>{_E}</div></body></html>",
     f"{_HEAD}<body><center><div>⟦{_A}<br>{_B}⟧</div><span class='ad'>{_D}</span></center><div class='nav'><a href='/'>Home</a></div></body></html>",
+    f"{_HEAD}<body><article>⟦<p><span>{_A}</span></p>⟧<div class='advert advertisement'>{_D}</div>⟦<p>{_C} <span class='x'>{_E}</span></p>⟧<div class='advertising sponsor'>{_B}</div></article></body></html>",
+    f"{_HEAD}<body><main><div>⟦<h1>Flood</h1></div><div>{_A}</div><div><div>{_B}</div></div>⟧</main><div class='ads'>{_D}</div></body></html>",
 ]

@@ -271,7 +271,7 @@ def wanted(page: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def train(pages: list[str] = PAGES, steps: int = 2000, rate: float = 0.5, ridge: float = 2e-3) -> Model:
+def train(pages: list[str] = PAGES, steps: int = 4000, rate: float = 0.5, ridge: float = 3e-4) -> Model:
     """Weights from labelled pages: logistic regression by gradient descent on the driver, every page of one weight; then the share ``against`` by most pages read right, the greatest of equals."""
     rows, labels, weights, tags = [], [], [], {}
     for page in pages:
