@@ -2,48 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.functions import content, language, repetition, scoring, text as X
 from tablewright.operators import histogram, profile, quality, sampling, tokens
+from tablewright.plans import corpus_queries  # noqa: F401  it registers its own
+from tablewright.plans.registry import ORACLES, QUERIES, Query, documents, registered, table
 from tablewright.sources import sinks
-from tablewright.sources.adapters import corpus, spread
 from tablewright.streaming.watch import trend
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def registered(sql: str | None = None):
-    def add(f: Query) -> Query:
-        name = f.__name__.strip("_")
-        _QUERIES[name] = f
-        if sql is not None:
-            _ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "source")
-
-
 _TOKENS = r"len(regexp_extract_all(text, '\S+'))"
 
 # Aggregates
 
 
 def _agg(name: str, of: str, operations: list[dict], sql: str) -> None:
-    _QUERIES[name] = lambda spark, sf_dir: profile.aggregate(table(spark, sf_dir, of), operations)
-    _ORACLES[name] = sql
+    QUERIES[name] = lambda spark, sf_dir: profile.aggregate(table(spark, sf_dir, of), operations)
+    ORACLES[name] = sql
 
 
 _agg("agg_row_count", "lineitem", [{"op": "row_count"}], "SELECT count(*) AS row_count FROM lineitem")
@@ -202,8 +177,8 @@ def _text_query(kind: str, column: str) -> Query:
 for _kind, _from in _SOURCES_SQL.items():
     for _name, (_column, _sql) in _TEXT_SQL.items():
         if _kind != "_pages" or _name in ("html_like", "code_like"):
-            _QUERIES[_name + _kind] = _text_query(_kind, _column)
-            _ORACLES[_name + _kind] = f"SELECT {_sql} AS {_column} FROM {_from}"
+            QUERIES[_name + _kind] = _text_query(_kind, _column)
+            ORACLES[_name + _kind] = f"SELECT {_sql} AS {_column} FROM {_from}"
 
 _LONG_SQL = "(SELECT CASE WHEN doc_id % 50 = 0 THEN repeat('a', 20000) || ' { = (' || text WHEN doc_id % 50 = 1 THEN repeat('f(', 10000) || '{' ELSE text END AS text FROM documents) AS d"
 
@@ -507,8 +482,8 @@ def event_trend(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)
