@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.operators import overlap
+from tablewright.operators import overlap, semantic
 from tablewright.plans.registry import registered, table
 from tablewright.sources.adapters import spread
 
@@ -75,3 +75,35 @@ def overlap_of_pages(spark, sf_dir):
     """Shingles that documents and the texts of pages share."""
     pages = spread(table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("text")))
     return overlap.shared_shingles(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), pages, "text")
+
+
+# Semantic duplicates
+
+
+_GROUPS_SQL = (
+    "near AS (SELECT a.id AS u, b.id AS v FROM e a JOIN e b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.95), "
+    "r AS (SELECT id, id AS root FROM e UNION SELECT near.v, root FROM r JOIN near ON near.u = r.id AND root < near.v), "
+    "g AS (SELECT id, min(root) AS group_id FROM r GROUP BY 1) "
+    "SELECT id, group_id, count(*) OVER (PARTITION BY group_id) AS rows FROM g"
+)
+
+
+@registered("WITH RECURSIVE e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), " + _GROUPS_SQL)
+def semantic_groups(spark, sf_dir):
+    """Groups of embeddings at a cosine of 0.95 or more."""
+    return semantic.groups(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+_DRIFTED = "(10 + c * (id % 7)) * x / 10 + 0.03 * c * sin(id * 1.7 + i * (2 + c))"
+
+
+@registered(
+    "WITH RECURSIVE e AS (SELECT c * 1000000 + vec_id AS id, list_transform(embedding, lambda x, i: " + _DRIFTED.replace("id", "vec_id") + ") AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS embedding, unnest(range(0, 4)) AS c FROM embeddings)), "
+    + _GROUPS_SQL
+)
+def semantic_groups_of_variants(spark, sf_dir):
+    """Each embedding with three versions of it, scaled and drifting further away: what is grouped depends on how far."""
+    of, c = F.col("vec_id"), F.col("c")
+    each = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c"))
+    drifted = F.transform("embedding", lambda x, k: (10 + c * (of % 7)) * x.cast("double") / 10 + 0.03 * c * F.sin(of * 1.7 + (k + 1) * (2 + c)))
+    return semantic.groups(each.select((c * 1000000 + of).alias("id"), drifted.alias("v")), "id", "v")
