@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.functions import content, language, repetition, scoring, text as X
-from tablewright.operators import histogram, profile, quality, sampling, tokens
+from tablewright.operators import histogram, profile, quality, sampling, states, tokens
 from tablewright.plans import corpus_queries  # noqa: F401  it registers its own
 from tablewright.plans.registry import ORACLES, QUERIES, Query, documents, registered, table
 from tablewright.sources import sinks
@@ -366,17 +366,31 @@ def quality_insights(spark, sf_dir):
     return made.select(F.array_join("recommendations", "; ").alias("recommendations"))
 
 
-@registered(
+_REPORT_SQL = (
     _MEASURES_SQL
     + " SELECT CAST(total_rows AS BIGINT) AS row_count, duplicate_ids, duplicate_texts, replacement_char, mojibake, control_chars, html_like, code_like, log_like, non_alpha_ratio, too_short, too_long, above_p99, repetition, langs FROM m"
 )
-def quality_report(spark, sf_dir):
-    made = _report(spark, sf_dir)
+
+
+def _shown(made: DataFrame) -> DataFrame:
     plain = "duplicate_ids duplicate_texts replacement_char mojibake control_chars html_like code_like log_like".split()
     ends = "too_short too_long above_p99 repetition".split()
     return made.select(F.col("total_rows").alias("row_count"), *plain, F.round("non_alpha_ratio", 9).alias("non_alpha_ratio"), *ends, F.size("lang_dist").cast("long").alias("langs"))
 
 
+@registered(_REPORT_SQL)
+def quality_report(spark, sf_dir):
+    return _shown(_report(spark, sf_dir))
+
+
+@registered(_REPORT_SQL)
+def quality_report_of_states(spark, sf_dir):
+    """The same report, merged from the states that each source's documents have."""
+    docs = documents(spark, sf_dir)
+    made = states.report(states.counts(docs, F.col("source")), states.keys(docs, F.col("source"), ["id", "text"]), docs.columns)
+    return _shown(made)
+
+
 @registered(
     _MEASURES_SQL
     + " SELECT array_to_string(list_filter([CASE WHEN (duplicate_ids + duplicate_texts) / total_rows > 0.01 THEN 'Duplicated ids or texts (' || printf('%.1f', 100.0 * (duplicate_ids + duplicate_texts) / total_rows) || '%)' END, 'A column lacks many values (100.0%)', "
