@@ -4,13 +4,19 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes e
 on what it reads back. All but the last return the columns of the documents they got.
 
 A stage's result is deleted once the next one's is written whole; what stays is the last one's. A run that has a name goes on, when it is called again,
-after the last stage that was written whole.
+after the last stage that was written whole, provided its input and stages are still the same: names, sizes and times of the tables' files and the stages' names are written in a folder beside its own. Where they
+differ, the run starts anew. A run without a name has a folder of its own, which goes with the program (the rows that it returns are read from there until then).
+
+Every stage takes null and empty texts, texts of any length, ties, repeated rows, empty tables and extra columns as its operator does; the modules in ``tablewright.llm`` say how.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.llm import bestfit, decontaminate, langid, quality, simhash
@@ -63,11 +69,37 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Tables that the stages read.
+TABLES = ("documents", "labels", "benchmark")
+
+
+def _input(spark: SparkSession, sf_dir: str) -> list[str]:
+    """What tells an input and these stages from others: name, bytes and time of every file of the tables, and the stages' names."""
+    jvm, found = spark.sparkContext._jvm, [f"stage {k} {stage}" for k, (stage, _) in enumerate(STAGES)]
+    for table in TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            if not f.getPath().getName().startswith(("_", ".")):
+                found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return sorted(found)
+
+
 def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
     """Apply all stages to the documents of ``sf_dir``. ``name`` tells runs apart, and lets one that broke off go on; without it each call is a run of its own."""
-    folder = Folder(spark, f"{shared_folder(spark)}/pipeline-{name or uuid.uuid4().hex}")
+    name, own = name or uuid.uuid4().hex, name is None
+    folder, of = Folder(spark, f"{shared_folder(spark)}/pipeline-{name}"), Folder(spark, f"{shared_folder(spark)}/pipeline-{name}-input")
     at = [f"{k}-{stage}" for k, (stage, _) in enumerate(STAGES)]
-    done = max((k for k, part in enumerate(at) if folder.whole(part)), default=-1)
+    if own:
+        atexit.register(_forget, folder, of)
+    now, done = _input(spark, sf_dir), -1
+    if of.whole("files") and sorted(r[0] for r in spark.read.parquet(of.path("files")).collect()) == now:
+        done = max((k for k, part in enumerate(at) if folder.whole(part)), default=-1)
+    else:
+        folder.delete("")
+        spark.createDataFrame([(x,) for x in now], "file string").coalesce(1).write.mode("overwrite").parquet(of.path("files"))
     for k, (_, stage) in enumerate(STAGES):
         if k <= done:
             continue
@@ -76,3 +108,10 @@ def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
         if k:
             folder.delete(at[k - 1])
     return spark.read.parquet(folder.path(at[-1]))
+
+
+def _forget(*folders: Folder) -> None:
+    """Delete a run's folders, unless the session has ended, and with it the way to them."""
+    for folder in folders:
+        with contextlib.suppress(Py4JError, OSError):
+            folder.delete("")
