@@ -67,7 +67,7 @@ def test_run_and_odd_rows(spark, tmp_path):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries() if k.startswith("op")) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries() if k.startswith("op")) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
@@ -137,6 +137,38 @@ def test_a_named_run_goes_on_and_leaves_nothing_but_its_result(spark, tmp_path,
     assert len(calls) == 6 and again.count() == got.count() > 0
 
 
+def test_a_name_belongs_to_its_input_and_stages(spark, tmp_path, monkeypatch):
+    """Another folder, a changed file or other stages under the same name start anew."""
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda _: str(tmp_path / "shared"))
+    keep = lambda spark, docs, sf_dir: docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", keep), ("last", keep)])
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def tables(name, n):
+        spark.createDataFrame([(k, "x", "en", "s", 1) for k in range(n)], kind).write.mode("overwrite").parquet(f"{tmp_path}/{name}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            spark.range(1).write.mode("overwrite").parquet(f"{tmp_path}/{name}/{other}.parquet")
+        return f"{tmp_path}/{name}"
+
+    one, two = tables("a", 3), tables("b", 5)
+    assert [run(spark, d, "n").count() for d in (one, two, two, one)] == [3, 5, 5, 3]
+    tables("a", 4)
+    assert run(spark, one, "n").count() == 4
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", keep), ("other", lambda spark, docs, sf_dir: docs.limit(1))])
+    assert run(spark, one, "n").count() == 1
+
+
+def test_an_unnamed_run_is_forgotten_in_the_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("only", lambda spark, docs, sf_dir: docs)])
+    ends = []
+    monkeypatch.setattr(corpus_pipeline.atexit, "register", lambda f, *args: ends.append((f, args)))
+    assert run(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count() and len(list(tmp_path.iterdir())) == 2
+    for f, args in ends:
+        f(*args)
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_stages_with_ids_of_several_texts(spark, tmp_path):
     kind = "doc_id long, text string, lang string, source string, n_chars long"
     one, two = ("Some fine words here, and more of the same sort. " * 20, "Quite another text that stands beside it, though with no other id. " * 20)
