@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.operators import overlap, semantic
-from tablewright.plans.registry import registered, table
+from tablewright.functions import profiles
+from tablewright.operators import overlap, quality, semantic
+from tablewright.plans.registry import documents, registered, table
 from tablewright.sources.adapters import spread
 
 # Overlap of two corpora: documents of even and of odd id.
@@ -107,3 +108,49 @@ def semantic_groups_of_variants(spark, sf_dir):
     each = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c"))
     drifted = F.transform("embedding", lambda x, k: (10 + c * (of % 7)) * x.cast("double") / 10 + 0.03 * c * F.sin(of * 1.7 + (k + 1) * (2 + c)))
     return semantic.groups(each.select((c * 1000000 + of).alias("id"), drifted.alias("v")), "id", "v")
+
+
+# Languages by profiles, learned from the stated languages of two documents in three
+
+_GRAMS_SQL = (
+    r"WITH c AS (SELECT doc_id, lang, list_filter(string_split(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')) || ' ', ''), lambda x: x <> '') AS c FROM documents), "
+    "g AS (SELECT doc_id, lang, unnest(list_transform(list_filter(range(1, len(c) - 1), lambda k: c[k + 1] <> ' '), lambda k: c[k] || c[k + 1] || c[k + 2])) AS gram FROM c), "
+    "p AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS rank FROM g WHERE doc_id % 3 <> 1 AND lang IS NOT NULL GROUP BY lang, gram QUALIFY rank <= 300), "
+    "t AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, gram) AS rank FROM g GROUP BY doc_id, gram QUALIFY rank <= 300), "
+    "s AS (SELECT doc_id, p.lang, sum(300 - abs(p.rank - t.rank)) AS w FROM t JOIN p ON t.gram = p.gram GROUP BY 1, 2), "
+    "b AS (SELECT doc_id, lang FROM s WHERE w > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, lang) = 1), "
+    "f AS (SELECT d.doc_id, d.lang AS stated, coalesce(b.lang, 'unknown') AS found, d.doc_id % 3 = 1 AS held_out FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id) "
+)
+
+
+def _learned(spark, sf_dir):
+    return profiles.learned(spread(table(spark, sf_dir, "documents").filter("doc_id % 3 <> 1").select("text", "lang")), "text", "lang")
+
+
+def _by_profile(spark, sf_dir):
+    found = profiles.detector(_learned(spark, sf_dir))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return docs.select("doc_id", F.col("lang").alias("stated"), found(F.col("text")).alias("found"), (F.col("doc_id") % 3 == 1).alias("held_out"))
+
+
+@registered(_GRAMS_SQL + "SELECT lang, gram, CAST(rank AS INTEGER) AS rank FROM p")
+def lang_profiles(spark, sf_dir):
+    return _learned(spark, sf_dir)
+
+
+@registered(_GRAMS_SQL + "SELECT * FROM f")
+def lang_by_profile(spark, sf_dir):
+    return _by_profile(spark, sf_dir)
+
+
+@registered(_GRAMS_SQL + "SELECT stated, count(*) AS n, count(*) FILTER (stated = found) AS right FROM f WHERE held_out GROUP BY stated")
+def lang_profile_accuracy(spark, sf_dir):
+    """Held-out documents by stated language, and how many are found to be in it."""
+    found = _by_profile(spark, sf_dir).filter("held_out")
+    return found.groupBy("stated").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("stated") == F.col("found")).alias("right"))
+
+
+@registered(_GRAMS_SQL + "SELECT found AS lang, count(*) AS n FROM f GROUP BY 1")
+def lang_dist_by_profile(spark, sf_dir):
+    """The quality report's count of languages with a learned detector."""
+    return quality.language_counts(documents(spark, sf_dir), detector=profiles.detector(_learned(spark, sf_dir)))
