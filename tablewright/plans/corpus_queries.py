@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.functions import profiles
-from tablewright.operators import overlap, quality, semantic
+from tablewright.operators import drift, nonsense, overlap, quality, semantic
 from tablewright.plans.registry import documents, registered, table
 from tablewright.sources.adapters import spread
 
@@ -154,3 +154,93 @@ def lang_profile_accuracy(spark, sf_dir):
 def lang_dist_by_profile(spark, sf_dir):
     """The quality report's count of languages with a learned detector."""
     return quality.language_counts(documents(spark, sf_dir), detector=profiles.detector(_learned(spark, sf_dir)))
+
+
+# Nonsense: perplexity of letters
+
+
+def _pairs_sql(name: str, text: str) -> str:
+    return (
+        rf"{name}_c AS (SELECT doc_id, list_filter(string_split(' ' || trim(regexp_replace(lower(coalesce({text}, '')), '[^\p{{L}}]+', ' ', 'g')) || ' ', ''), lambda x: x <> '') AS c FROM documents), "
+        f"{name} AS (SELECT doc_id, unnest(list_transform(range(1, len(c)), lambda k: c[k])) AS a, unnest(list_transform(range(1, len(c)), lambda k: c[k + 1])) AS b FROM {name}_c WHERE len(c) > 2)"
+    )
+
+
+_MODEL_SQL = (
+    "WITH "
+    + _pairs_sql("x", "text")
+    + ", s AS (SELECT a, b, count(*) AS n FROM x GROUP BY 1, 2), l AS (SELECT a, sum(n) AS al FROM s GROUP BY 1 ORDER BY al DESC, a LIMIT 256), v AS (SELECT count(*) AS v FROM l), "
+    "k AS (SELECT s.* FROM s WHERE a IN (SELECT a FROM l) AND b IN (SELECT a FROM l)), t AS (SELECT l.a, coalesce(sum(n), 0) + any_value(v) + 1 AS total FROM l LEFT JOIN k USING (a), v GROUP BY 1), "
+    "m AS (SELECT t.a, k.b, ln((n + 1) / total) AS lp FROM k JOIN t USING (a)) "
+)
+
+
+def _scores_sql(name: str, of: str) -> str:
+    return f"{name} AS (SELECT doc_id, exp(-avg(coalesce(m.lp, -ln(t.total), -ln(v + 1)))) AS p FROM {of} y LEFT JOIN m ON m.a = y.a AND m.b = y.b LEFT JOIN t ON t.a = y.a, v GROUP BY 1)"
+
+
+@registered(_MODEL_SQL + ", " + _scores_sql("p", "x") + " SELECT d.doc_id, round(p, 6) AS perplexity FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id")
+def text_perplexity(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = nonsense.perplexity(nonsense.transitions(docs, "text"))
+    return docs.select("doc_id", F.round(of(F.col("text")), 6).alias("perplexity"))
+
+
+@registered(
+    _MODEL_SQL + ", " + _pairs_sql("z", "reverse(text)") + ", " + _scores_sql("p", "x") + ", " + _scores_sql("q", "z")
+    + " SELECT count(*) AS texts, count(*) FILTER (round(q.p, 6) > round(p.p, 6)) AS told FROM p JOIN q USING (doc_id)"
+)
+def nonsense_told(spark, sf_dir):
+    """How many texts, read backwards, surprise more than as they are."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = nonsense.perplexity(nonsense.transitions(docs, "text"))
+    both = docs.select(F.round(of(F.col("text")), 6).alias("p"), F.round(of(F.reverse("text")), 6).alias("q")).filter(F.col("p").isNotNull())
+    return both.agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("q") > F.col("p")).alias("told"))
+
+
+# Drift: distributions of one period against those of the one before
+
+_KS_SQL = (
+    ", t AS (SELECT period, sum(n) AS total FROM c GROUP BY 1), p AS (SELECT period, total, lag(period) OVER o AS before, lag(total) OVER o AS total_before FROM t WINDOW o AS (ORDER BY period)), "
+    "b AS (SELECT p.period, before, v, sum(CASE WHEN c.period = p.period THEN n ELSE 0 END) AS a, sum(CASE WHEN c.period = before THEN n ELSE 0 END) AS b FROM p JOIN c ON c.period = p.period OR c.period = before WHERE before IS NOT NULL GROUP BY 1, 2, 3), "
+    "r AS (SELECT period, before, sum(a) OVER o AS a, sum(b) OVER o AS b FROM b WINDOW o AS (PARTITION BY period, before ORDER BY v)), "
+    "k AS (SELECT r.period, r.before, CAST(any_value(total) AS BIGINT) AS rows, CAST(any_value(total_before) AS BIGINT) AS rows_before, max(abs(a / total - b / total_before)) AS ks FROM r JOIN p ON r.period = p.period GROUP BY 1, 2) "
+)
+_DAYS_SQL = "WITH c AS (SELECT date_trunc('day', ts) AS period, value AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2)" + _KS_SQL
+
+
+def _by_day(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("ts", "value"), F.date_trunc("day", F.col("ts")).cast("timestamp_ntz"), F.col("value")
+
+
+@registered(_DAYS_SQL + "SELECT period, before, rows, rows_before, round(ks, 9) AS ks FROM k")
+def drift_of_events(spark, sf_dir):
+    """Kolmogorov-Smirnov distance of each day's values from the day's before."""
+    return drift.ks(drift.counts(*_by_day(spark, sf_dir))).withColumn("ks", F.round("ks", 9))
+
+
+@registered(_DAYS_SQL + "SELECT period, round(ks, 9) AS ks, true AS near FROM k")
+def drift_sketched(spark, sf_dir):
+    """The exact distance, and whether the one from merged sketches of hours is within the error that they state."""
+    df, day, value = _by_day(spark, sf_dir)
+    hours = drift.sketches(df, F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz"), value)
+    days = drift.merged(hours, F.date_trunc("day", F.col("period")).cast("timestamp_ntz"))
+    both = drift.ks(drift.counts(df, day, value)).select("period", "ks").join(drift.ks_of_sketches(days).select("period", F.col("ks").alias("about")), "period")
+    return both.select("period", F.round("ks", 9).alias("ks"), (F.abs(F.col("ks") - F.col("about")) <= 2 * drift.KLL_ERROR + 1 / 200).alias("near"))
+
+
+_LENGTH_EDGES = (10, 30, 100, 200, 300, 500, 1000, 2000)
+
+
+@registered(
+    r"WITH c AS (SELECT source AS period, len(regexp_extract_all(text, '\S+'))::DOUBLE AS v, count(*) AS n FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2)" + _KS_SQL
+    + f", e AS (SELECT unnest(range(0, {len(_LENGTH_EDGES) + 1})) AS bin), n AS (SELECT period, len(list_filter({list(_LENGTH_EDGES)}, lambda e: e < v)) AS bin, sum(n) AS n FROM c GROUP BY 1, 2), "
+    "s AS (SELECT t.period, e.bin, greatest(coalesce(n.n, 0) / t.total, 0.0001::DOUBLE) AS p FROM t CROSS JOIN e LEFT JOIN n ON n.period = t.period AND n.bin = e.bin), "
+    "i AS (SELECT x.period, sum((x.p - y.p) * ln(x.p / y.p)) AS psi FROM p JOIN s x ON x.period = p.period JOIN s y ON y.period = p.before AND y.bin = x.bin GROUP BY 1) "
+    "SELECT k.period, before, rows, rows_before, round(ks, 9) AS ks, round(psi, 9) AS psi FROM k JOIN i ON i.period = k.period"
+)
+def drift_of_lengths(spark, sf_dir):
+    """Token counts of each source's documents, as if a version of one dataset, against the source's before it by name: distance and stability index."""
+    counted = drift.counts(documents(spark, sf_dir).filter(F.col("text").isNotNull()), F.col("source"), F.col("token_count"))
+    made = drift.ks(counted).join(drift.psi(counted, list(_LENGTH_EDGES)), ["period", "before"])
+    return made.select("period", "before", "rows", "rows_before", F.round("ks", 9).alias("ks"), F.round("psi", 9).alias("psi"))

@@ -1,0 +1,82 @@
+import math
+import random
+from collections import Counter
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from tablewright.functions.lookup import literal_table
+from tablewright.operators import nonsense
+
+
+def plain_pairs(text):
+    words = " " + regex.sub(r"[^\p{L}]+", " ", (text or "").lower()).strip(" ") + " "
+    return [words[k : k + 2] for k in range(len(words) - 1)] if len(words) > 2 else []
+
+
+def plain_model(texts, alphabet):
+    seen = Counter(p for t in texts for p in plain_pairs(t))
+    first = Counter()
+    for p, n in seen.items():
+        first[p[0]] += n
+    letters = {a for a, _ in sorted(first.items(), key=lambda x: (-x[1], x[0]))[:alphabet]}
+    kept = {p: n for p, n in seen.items() if p[0] in letters and p[1] in letters}
+    total = {a: sum(n for p, n in kept.items() if p[0] == a) + len(letters) + 1 for a in letters}
+    return kept, total, len(letters)
+
+
+def plain_perplexity(text, model):
+    kept, total, v = model
+    logs = [math.log((kept.get(p, 0) + 1) / total[p[0]] if p[0] in total else 1 / (v + 1)) for p in plain_pairs(text)]
+    return math.exp(-sum(logs) / len(logs)) if logs else None
+
+
+TEXTS = [None, "", "12 34", "a", "Été à Paris", "Привет мир", "日本 語", "the cat sat on the mat " * 300, "x" * 100_000, "ÀÉ 𝒂", "hello\n\thello, hello!", "qzx vkj"]
+
+
+@pytest.mark.parametrize("alphabet", [4, 256])
+def test_equals_plain_python(spark, alphabet):
+    rng = random.Random(1)
+    texts = TEXTS + ["".join(rng.choice("abcdé  .") for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = plain_model(texts, alphabet)
+    of = nonsense.perplexity(nonsense.transitions(df, "text", alphabet))
+    for (got,), text in zip(df.select(of(F.col("text"))).collect(), texts):
+        want = plain_perplexity(text, model)
+        assert (got is None and want is None) or got == pytest.approx(want, rel=1e-9), text
+
+
+def test_model_is_bounded_and_adds_up(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = nonsense.transitions(docs, "text", 10)
+    assert model.count() <= 10 * 11 + 1
+    known = model.filter("length(pair) = 2").groupBy(F.substring("pair", 1, 1).alias("a")).agg(F.sum(F.exp("log_p")).alias("p"), F.count(F.lit(1)).alias("n"))
+    alone = model.filter("length(pair) = 1").select(F.col("pair").alias("a"), F.exp("log_p").alias("rest"))
+    for r in known.join(alone, "a").collect():
+        assert r.p + r.rest * (10 + 1 - r.n) == pytest.approx(1)
+
+
+def test_nonsense_is_told_from_text(spark):
+    """Texts that the model has not seen, and the same letters shuffled."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(4)
+    of = nonsense.perplexity(nonsense.transitions(docs.filter("doc_id % 2 = 0"), "text"))
+    shuffled = F.concat_ws("", F.transform(F.sort_array(F.transform(F.split("text", ""), lambda c, k: F.struct(F.xxhash64(k).alias("h"), c.alias("c")))), lambda x: x["c"]))
+    other = docs.filter("doc_id % 2 = 1 and length(text) > 50")
+    told = other.agg(F.avg((of(shuffled) > of(F.col("text"))).cast("int"))).first()[0]
+    assert told >= 0.98
+
+
+def test_nothing_learned(spark):
+    df = spark.createDataFrame([(None,), ("1",)], "text string")
+    of = nonsense.perplexity(nonsense.transitions(df, "text"))
+    found = spark.createDataFrame([("abc",), (None,)], "text string").select(of(F.col("text"))).collect()
+    assert found[0][0] == pytest.approx(1) and found[1][0] is None
+
+
+def test_literal_tables(spark):
+    rows = spark.createDataFrame([(f"k{i}", float(i)) for i in range(500)] + [("", 0.5)], "k string, v double")
+    of = literal_table(rows, "k", "v")
+    df = rows.unionByName(spark.createDataFrame([("none", None), (None, None)], "k string, v double"))
+    assert all(r[0] == r[1] for r in df.select("v", of(F.col("k")).alias("x")).collect())
+    assert "from_json" not in df.select(of(F.col("k")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
