@@ -94,6 +94,10 @@ class Forest:
         return int(np.quantile(needed, target, method="higher")) if needed else 1
 
 
+#: Blocks of all trees whose numbers of askers are broadcast, some bytes each; beyond that they are joined by shuffle.
+MOST_BLOCKS = 1_000_000
+
+
 def usable(rows: DataFrame, id_: str, vector: str) -> DataFrame:
     """(row, id, v) of each row with a vector that takes part; row tells apart those that share an id."""
     v = F.col(vector)
@@ -161,7 +165,6 @@ def neighbours(
     forest = Forest.fit(taught, trees if depth else 1, depth, seed)
     probes = forest.probes_for(taught, k, target, probe_queries)
     queries = each.filter(is_query(F.col("id")))
-    shares = max(1, -(-queries.count() // ask_rows))
     splits = max(1, int(np.ceil(n / (1 << depth) / block_rows)))
     shift = min(depth, max(0, int(np.log2(max(1.0, block_rows * (1 << depth) / max(1, n))))))
     sent = rows.sparkSession.sparkContext.broadcast((forest.directions, forest.thresholds))
@@ -216,10 +219,14 @@ def neighbours(
 
     dealt = groups.select("id", "v").mapInArrow(deal, f"tree int, block long, part long, leaf long, id long, v {kind}")
     asked = queries.select(F.col("row").alias("id"), "v").mapInArrow(ask, f"tree int, block long, leaves array<long>, query_id long, q {kind}")
+    asked = cut(asked)
+    # Queries in groups that a task can hold. Only where more ask for a block do its rows go to several tasks; where none asks they go nowhere.
+    shares = asked.groupBy("tree", "block").agg(F.ceil(F.count(F.lit(1)) / ask_rows).alias("shares"))
+    if forest.trees * ((1 << depth) >> shift) <= MOST_BLOCKS:
+        shares = F.broadcast(shares)
+    dealt = dealt.join(shares, ["tree", "block"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
+    asked = asked.join(shares, ["tree", "block"]).withColumn("share", F.pmod(F.xxhash64("query_id"), F.col("shares"))).drop("shares")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))))
-    # Queries in groups that a task can hold; each group meets all rows.
-    asked = asked.withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(shares)))
-    dealt = dealt.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
     key = ["tree", "block", "part", "share"]
     met = dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(meet, "query_id long, id long, score double")
     nearest = Window.partitionBy("query_id").orderBy("score", "id")
