@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.functions import profiles
+from tablewright.functions import personal, profiles
 from tablewright.operators import drift, nonsense, overlap, quality, semantic
 from tablewright.plans.registry import documents, registered, table
 from tablewright.sources.adapters import spread
@@ -244,3 +244,50 @@ def drift_of_lengths(spark, sf_dir):
     counted = drift.counts(documents(spark, sf_dir).filter(F.col("text").isNotNull()), F.col("source"), F.col("token_count"))
     made = drift.ks(counted).join(drift.psi(counted, list(_LENGTH_EDGES)), ["period", "before"])
     return made.select("period", "before", "rows", "rows_before", F.round("ks", 9).alias("ks"), F.round("psi", 9).alias("psi"))
+
+
+# Personal data, verified; texts get a number that may be a card's, an account and an address, most of them not genuine
+
+_INJECTED_SQL = (
+    "(SELECT doc_id, text || ' 4' || lpad(CAST(doc_id * 7919 AS VARCHAR), 15, '3') || '; DE' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') || ' 3704 0044 0532 0130 00, at ' || (doc_id % 400) || '.0.' || (doc_id % 7) || '.1, version 1.2.3.' || (doc_id % 9) AS text FROM documents)"
+)
+_DIGITS_SQL = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN_SQL = f"list_sum(list_transform(range(1, len({_DIGITS_SQL}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(reverse({_DIGITS_SQL})[k] AS INTEGER) WHEN CAST(reverse({_DIGITS_SQL})[k] AS INTEGER) > 4 THEN CAST(reverse({_DIGITS_SQL})[k] AS INTEGER) * 2 - 9 ELSE CAST(reverse({_DIGITS_SQL})[k] AS INTEGER) * 2 END)) % 10 = 0"
+_IBAN_LENGTH_SQL = "CASE " + " ".join(f"WHEN left(x, 2) = '{c}' THEN {n}" for c, n in personal.IBAN_LENGTHS.items()) + " END"
+_COMPACT_SQL = f"left(replace(x, ' ', ''), {_IBAN_LENGTH_SQL})"
+_GENUINE_SQL = {
+    "email": r"regexp_matches(x, '\.[A-Za-z]{2,24}$')",
+    "card": f"regexp_matches(x, '{personal.CARD}') AND len({_DIGITS_SQL}) BETWEEN 13 AND 19 AND {_DIGITS_SQL} <> repeat(left({_DIGITS_SQL}, 1), len({_DIGITS_SQL})) AND {_LUHN_SQL}",
+    "iban": f"regexp_matches(x, '^[A-Z]{{2}}[0-9]{{2}}') AND coalesce(len(replace(x, ' ', '')) >= {_IBAN_LENGTH_SQL}, false) AND "
+    f"list_reduce(list_transform(string_split(substr({_COMPACT_SQL}, 5) || left({_COMPACT_SQL}, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END), lambda t, v: (t * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1",
+    "ip_address": r"lower(regexp_extract(x, '^([A-Za-z]*)', 1)) NOT IN (" + ", ".join(f"'{w}'" for w in personal.VERSION_WORDS) + r") AND regexp_matches(x, '(^|[^0-9])(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$') "
+    r"AND list_max(list_transform(string_split(regexp_extract(x, '([0-9][0-9.]*)$', 1), '.'), lambda p: coalesce(TRY_CAST(p AS INTEGER), 999))) <= 255 AND len(string_split(regexp_extract(x, '([0-9][0-9.]*)$', 1), '.')) = 4",
+    "phone": f"CASE WHEN left(x, 1) = '+' THEN len({_DIGITS_SQL}) BETWEEN 8 AND 15 ELSE len({_DIGITS_SQL}) = 10 AND regexp_matches(x, '^\\(?[0-9]{{3}}\\)?[ .-][0-9]{{3}}[ .-][0-9]{{4}}$') END",
+}
+
+
+def _found_sql(of: str) -> str:
+    lists = ", ".join(f"list_filter(regexp_extract_all(text, '{personal.CANDIDATES[k]}'), lambda x: {sql}) AS {k}" for k, sql in _GENUINE_SQL.items())
+    each = " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) FILTER (len({k}) > 0) AS texts, CAST(coalesce(sum(len({k})), 0) AS BIGINT) AS matches FROM f" for k in _GENUINE_SQL)
+    return f"WITH f AS (SELECT {lists} FROM {of}) {each}"
+
+
+def _found(docs):
+    lists = docs.select(*[F.size(personal.matches(F.col("text"), k)).cast("long").alias(k) for k in personal.CANDIDATES])
+    sums = lists.agg(*[F.struct(F.lit(k).alias("kind"), F.count_if(F.col(k) > 0).alias("texts"), F.coalesce(F.sum(k), F.lit(0)).alias("matches")).alias(k) for k in personal.CANDIDATES])
+    return sums.select(F.inline(F.array(*personal.CANDIDATES)))
+
+
+@registered(_found_sql("documents"))
+def personal_verified(spark, sf_dir):
+    """Verified personal data by kind: documents that hold some, and matches."""
+    return _found(spread(table(spark, sf_dir, "documents").select("text")))
+
+
+@registered(_found_sql(_INJECTED_SQL))
+def personal_verified_injected(spark, sf_dir):
+    """The same with a number, an account and an address put behind each text, genuine for some ids only."""
+    docs, id_ = spread(table(spark, sf_dir, "documents").select("doc_id", "text")), F.col("doc_id")
+    text = lambda x: x.cast("string")
+    more = [F.lit(" 4"), F.lpad(text(id_ * 7919), 15, "3"), F.lit("; DE"), F.lpad(text(id_ % 100), 2, "0"), F.lit(" 3704 0044 0532 0130 00, at "), text(id_ % 400), F.lit(".0."), text(id_ % 7), F.lit(".1, version 1.2.3."), text(id_ % 9)]
+    return _found(docs.select(F.concat("text", *more).alias("text")))
