@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.functions import personal, profiles
-from tablewright.operators import drift, nonsense, overlap, quality, semantic
+from tablewright.operators import drift, expressions, nonsense, overlap, profile, quality, semantic
 from tablewright.plans.registry import documents, registered, table
 from tablewright.sources.adapters import spread
 
@@ -291,3 +291,27 @@ def personal_verified_injected(spark, sf_dir):
     text = lambda x: x.cast("string")
     more = [F.lit(" 4"), F.lpad(text(id_ * 7919), 15, "3"), F.lit("; DE"), F.lpad(text(id_ % 100), 2, "0"), F.lit(" 3704 0044 0532 0130 00, at "), text(id_ % 400), F.lit(".0."), text(id_ % 7), F.lit(".1, version 1.2.3."), text(id_ % 9)]
     return _found(docs.select(F.concat("text", *more).alias("text")))
+
+
+# Requests over chosen rows and derived columns
+
+
+@registered(
+    "SELECT count(*) AS row_count, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_net, max(l_shipdate) AS max_l_shipdate FROM lineitem "
+    "WHERE l_quantity >= 10 AND (l_returnflag IN ('A', 'R') OR NOT l_linestatus = 'O') AND l_shipdate < TIMESTAMP '1998-01-01' AND l_tax IS NOT NULL"
+)
+def agg_where(spark, sf_dir):
+    """Aggregates over rows that a request's condition chooses, one of a derived column."""
+    c, v = (lambda name: {"column": name}), (lambda value: {"value": value})
+    op = lambda name, *args: {"op": name, "args": list(args)}
+    net = [{"name": "net", "expression": op("*", c("l_extendedprice"), op("-", v(1), c("l_discount")))}]
+    condition = op(
+        "and",
+        op(">=", c("l_quantity"), v(10)),
+        op("or", op("in", c("l_returnflag"), v("A"), v("R")), op("not", op("=", c("l_linestatus"), v("O")))),
+        op("<", c("l_shipdate"), v("1998-01-01")),
+        op("not", op("is_null", c("l_tax"))),
+    )
+    rows = expressions.where(expressions.derived(table(spark, sf_dir, "lineitem"), net), condition)
+    made = profile.aggregate(rows, [{"op": "row_count"}, {"op": "sum", "column": "net"}, {"op": "max", "column": "l_shipdate"}])
+    return made.withColumn("sum_net", F.round("sum_net", 2))

@@ -6,7 +6,7 @@ import dataclasses
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.operators import histogram, profile, quality, sampling
+from tablewright.operators import expressions, histogram, profile, quality, sampling
 from tablewright.plans import plotspec
 from tablewright.plans.cache import Cache, TTL_SECONDS, request_key
 from tablewright.plans.errors import BadRequest
@@ -54,13 +54,15 @@ class Engine:
 
     # Requests
 
-    def analyse(self, dataset: str, version: str, operations: list[dict], variant: str = "original", filters: list | None = None) -> dict:
-        """{"key", "columns": {column: {operation: value}}}. ``filters`` is accepted and has no effect."""
+    def analyse(self, dataset: str, version: str, operations: list[dict], variant: str = "original", filters: list | None = None, where: dict | None = None, derived: list[dict] | None = None) -> dict:
+        """{"key", "columns": {column: {operation: value}}}, over the rows that meet ``where`` and with the columns ``derived`` (``operators.expressions``). ``filters`` is accepted and has no effect."""
         path = self.catalog.file_path(dataset, variant, version)
-        request = {"dataset": dataset, "variant": variant, "version": version, "operations": operations, "filters": filters}
+        request = {"dataset": dataset, "variant": variant, "version": version, "operations": operations, "filters": filters} | ({"where": where} if where else {}) | ({"derived": derived} if derived else {})
         key = request_key(request, self.catalog.stamp(path))
         if not self.analyses.has(key):
-            self.analyses.set(key, {"key": key, "columns": profile.run_operations(self.spark.read.parquet(path), operations)})
+            df = expressions.derived(self.spark.read.parquet(path), derived or [])
+            df = expressions.where(df, where) if where else df
+            self.analyses.set(key, {"key": key, "columns": profile.run_operations(df, operations)})
         return self.analyses.get(key)
 
     def cached(self, key: str) -> dict | None:
