@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import dataclasses
+import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tablewright.operators import expressions, histogram, profile, quality, sampling
 from tablewright.plans import plotspec
@@ -55,14 +56,20 @@ class Engine:
     # Requests
 
     def analyse(self, dataset: str, version: str, operations: list[dict], variant: str = "original", filters: list | None = None, where: dict | None = None, derived: list[dict] | None = None) -> dict:
-        """{"key", "columns": {column: {operation: value}}}, over the rows that meet ``where`` and with the columns ``derived`` (``operators.expressions``). ``filters`` is accepted and has no effect."""
+        """{"key", "columns": {column: {operation: value}}, "metrics": rows and nulls seen, the file's bytes, seconds}, over the rows that meet ``where`` and with the columns ``derived`` (``operators.expressions``). ``filters`` is accepted and has no effect."""
         path = self.catalog.file_path(dataset, variant, version)
         request = {"dataset": dataset, "variant": variant, "version": version, "operations": operations, "filters": filters} | ({"where": where} if where else {}) | ({"derived": derived} if derived else {})
         key = request_key(request, self.catalog.stamp(path))
         if not self.analyses.has(key):
             df = expressions.derived(self.spark.read.parquet(path), derived or [])
             df = expressions.where(df, where) if where else df
-            self.analyses.set(key, {"key": key, "columns": profile.run_operations(df, operations)})
+            # The metrics come with the request's own job.
+            seen, began = Observation(), time.perf_counter()
+            named = [c for c in dict.fromkeys(o.get("column") for o in operations) if c in df.columns]
+            df = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("`" + c.replace("`", "``") + "`").isNull()).alias(f"null {c}") for c in named])
+            columns, counts = profile.run_operations(df, operations), seen.get
+            metrics = {"rows": counts["rows"], "nulls": {c: counts[f"null {c}"] for c in named}, "file_bytes": self.catalog.stamp(path)[0], "seconds": time.perf_counter() - began}
+            self.analyses.set(key, {"key": key, "columns": columns, "metrics": metrics})
         return self.analyses.get(key)
 
     def cached(self, key: str) -> dict | None:

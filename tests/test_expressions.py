@@ -1,6 +1,6 @@
 import pytest
 
-from tablewright.operators import expressions as E
+from tablewright.operators import expressions as E, profile
 from tablewright.plans.engine import Engine
 from tablewright.plans.errors import BadRequest
 
@@ -90,3 +90,20 @@ def test_conditions_reach_the_scan_and_results_are_kept_apart(spark, tmp_path):
     assert engine.analyse("a", "v1", ops[:1])["columns"]["_row_count"]["sum"] == 100
     plan = E.where(engine.read("a", "v1"), condition)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(id,90)" in plan and "EqualTo(k,0)" in plan
+
+
+def test_metrics_come_with_the_requests_own_job(spark, tmp_path):
+    folder = tmp_path / "a" / "original" / "v1"
+    folder.mkdir(parents=True)
+    spark.range(100).selectExpr("id", "case when id % 4 = 0 then id end as k").coalesce(1).write.parquet(str(folder / "a.parquet"))
+    engine, ops = Engine(spark, str(tmp_path)), [{"op": "sum", "column": "k"}, {"op": "max", "column": "id"}]
+    df, tracker = engine.read("a", "v1"), spark.sparkContext.statusTracker()
+    jobs = []
+    for name, run in (("plain", lambda: profile.run_operations(df, ops)), ("metered", lambda: engine.analyse("a", "v1", ops, where=op("<", c("id"), v(50))))):
+        spark.sparkContext.setJobGroup(name, name)
+        got = run()
+        jobs.append(len(tracker.getJobIdsForGroup(name)))
+    spark.sparkContext.setJobGroup("", "")
+    metrics = got["metrics"]
+    assert metrics["rows"] == 50 and metrics["nulls"] == {"k": 37, "id": 0} and metrics["file_bytes"] > 0 and metrics["seconds"] > 0
+    assert jobs[1] - jobs[0] <= 1  # the footer of the file, which the plain run has read before
