@@ -18,11 +18,12 @@ from tablewright.streaming.watch import trend
 class Engine:
     """Requests name a dataset, variant and version; results are plain dictionaries and are kept for ``ttl_seconds``.
 
-    A result is kept under its request and the file's size and time, so a changed file is read anew.
+    A result is kept under its request and the file's size and time, so a changed file is read anew. With ``same_schema`` requests on a version whose columns
+    differ from those of the version before are refused; ``strict`` refuses version folders with more than one file.
     """
 
-    def __init__(self, spark: SparkSession, root: str, ttl_seconds: float | None = TTL_SECONDS, sample_rows: int = sampling.SAMPLE_ROWS):
-        self.spark, self.catalog, self.sample_rows = spark, Catalog(spark, root), sample_rows
+    def __init__(self, spark: SparkSession, root: str, ttl_seconds: float | None = TTL_SECONDS, sample_rows: int = sampling.SAMPLE_ROWS, same_schema: bool = False, strict: bool = False):
+        self.spark, self.catalog, self.sample_rows, self.same_schema = spark, Catalog(spark, root, strict), sample_rows, same_schema
         self.analyses, self.reports = Cache(ttl_seconds), Cache(ttl_seconds)
 
     # Catalogue
@@ -47,7 +48,13 @@ class Engine:
         return dataclasses.asdict(self.catalog.version(slug, variant, version))
 
     def read(self, dataset: str, version: str, variant: str = "original") -> DataFrame:
-        return self.spark.read.parquet(self.catalog.file_path(dataset, variant, version))
+        return self.spark.read.parquet(self._file(dataset, variant, version))
+
+    def _file(self, dataset: str, variant: str, version: str) -> str:
+        path = self.catalog.file_path(dataset, variant, version)
+        if self.same_schema:
+            self.catalog.demand_schema(dataset, variant, version)
+        return path
 
     def sweep(self) -> int:
         """Drop results whose time is over; returns how many."""
@@ -57,7 +64,7 @@ class Engine:
 
     def analyse(self, dataset: str, version: str, operations: list[dict], variant: str = "original", filters: list | None = None, where: dict | None = None, derived: list[dict] | None = None) -> dict:
         """{"key", "columns": {column: {operation: value}}, "metrics": rows and nulls seen, the file's bytes, seconds}, over the rows that meet ``where`` and with the columns ``derived`` (``operators.expressions``). ``filters`` is accepted and has no effect."""
-        path = self.catalog.file_path(dataset, variant, version)
+        path = self._file(dataset, variant, version)
         request = {"dataset": dataset, "variant": variant, "version": version, "operations": operations, "filters": filters} | ({"where": where} if where else {}) | ({"derived": derived} if derived else {})
         key = request_key(request, self.catalog.stamp(path))
         if not self.analyses.has(key):
@@ -104,7 +111,7 @@ class Engine:
 
     def quality(self, dataset: str, version: str, variant: str = "original") -> dict:
         """The quality report, with score and grade, insights, and the key under which it is kept."""
-        path = self.catalog.file_path(dataset, variant, version)
+        path = self._file(dataset, variant, version)
         key = request_key({"dataset": dataset, "variant": variant, "version": version}, "quality", self.catalog.stamp(path))
         if not self.reports.has(key):
             row = quality.report(self.spark.read.parquet(path), sample_rows=self.sample_rows).first().asDict(recursive=True)

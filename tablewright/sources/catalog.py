@@ -183,6 +183,17 @@ class Catalog:
         status = self._fs.getFileStatus(self.spark._jvm.org.apache.hadoop.fs.Path(path))
         return status.getLen(), status.getModificationTime()
 
+    def demand_schema(self, slug: str, variant: str, version: str) -> None:
+        """Refuse a version whose columns, by name and type, are not those of the version before it, by meaning; the oldest is taken as it is."""
+        older = [v for v in self.versions(slug, variant) if semantic(v.version) < semantic(version)]
+        if not older:
+            return
+        before = max(older, key=lambda v: semantic(v.version))
+        a, b = ({c.name: c.dtype for c in v.file_schema} for v in (before, self.version(slug, variant, version)))
+        if changed := sorted(n for n in a.keys() | b.keys() if a.get(n) != b.get(n)):
+            what = ", ".join(f"{n} ({a.get(n, 'missing')} before, {b.get(n, 'missing')} now)" for n in changed)
+            raise BadRequest(f"{slug}/{variant}/{version} departs from {before.version}: {what}")
+
     def frame(self) -> DataFrame:
         """The catalogue as a flat table, a row for each version."""
         rows = [
