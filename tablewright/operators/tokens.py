@@ -32,19 +32,19 @@ def nearest_quantile(df: DataFrame, column: str = "token_count", q: float = QUAN
 
 
 def upto_counts(counts: DataFrame) -> DataFrame:
-    """``counts`` (v, n) with ``upto``, the rows up to each value, and ``all``. Null values are left out of both."""
+    """``counts`` (v, n) with ``upto``, the rows up to each value, and ``all``. Null values are left out of both; a value may have several counts, which have the same ``upto``."""
     n = F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return counts.withColumns({"upto": F.sum(n).over(upto), "all": F.sum(n).over(Window.partitionBy())})
 
 
 def nearest_of_counts(q: float = QUANTILE) -> list[Column]:
     """The aggregates ``p99_tokens`` and ``above_p99`` over what ``upto_counts`` gives."""
     index = F.floor((F.col("all") - 1) * F.lit(q) + F.lit(0.5))
-    known = F.col("v").isNotNull()
+    least = lambda c: F.min(F.when(F.col("v").isNotNull() & (F.col("upto") > index), F.col(c)))
     return [
-        F.coalesce(F.min(F.when(known & (F.col("upto") > index), F.col("v"))), F.lit(0)).cast("long").alias("p99_tokens"),
-        F.coalesce(F.sum(F.when(known & (F.col("upto") - F.col("n") > index), F.col("n"))), F.lit(0)).cast("long").alias("above_p99"),
+        F.coalesce(least("v"), F.lit(0)).cast("long").alias("p99_tokens"),
+        F.coalesce(F.max("all") - least("upto"), F.lit(0)).cast("long").alias("above_p99"),
     ]
 
 

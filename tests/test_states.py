@@ -121,3 +121,13 @@ def test_states_on_arrival(spark, tmp_path, parts):
         watch.on_arrival(stream, store.add, str(tmp_path / "mark")).awaitTermination()
         assert total(store.report()) == n(spark, parts[: k + 1])
     assert len({batch for batch, _ in store.files().values()}) == len(parts)
+
+
+def test_rows_at_the_quantile_in_several_languages_are_not_above_it(spark):
+    """Rows 986 to 1,000 are of equal length, in five languages; the quantile is row 990."""
+    rows = [(k, "aa x" if k < 986 else f"{'abcde'[k % 5] * 2} x y z") for k in range(1001)]
+    docs = corpus(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    found = lambda text: F.substring(text, 1, 2)
+    whole = quality.report(docs, sample_rows=None, detector=found)
+    for made in (whole,):
+        assert made.select("p99_tokens", "above_p99").first()[:] == (4, 0)
