@@ -129,5 +129,6 @@ def test_rows_at_the_quantile_in_several_languages_are_not_above_it(spark):
     docs = corpus(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
     found = lambda text: F.substring(text, 1, 2)
     whole = quality.report(docs, sample_rows=None, detector=found)
-    for made in (whole,):
+    of_states = states.report(states.counts(docs, F.col("source"), detector=found), states.keys(docs, F.col("source"), ["id", "text"]), docs.columns)
+    for made in (whole, of_states):
         assert made.select("p99_tokens", "above_p99").first()[:] == (4, 0)
