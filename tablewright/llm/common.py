@@ -3,40 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import importlib.util
-import os
 import re
 import shutil
-import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tablewright.sources.shipping import shipped  # noqa: F401  operators of this package take it from here
+
 #: Characters of text that numpy code turns into code points at once; bounds a Python worker's memory.
 BLOCK_CHARS = 1_000_000
 
 
-_SHIPPED: set[str] = set()
-
-
-def shipped(df: DataFrame) -> DataFrame:
-    """``df``, once its session's Python workers can import this package: it is sent to them as a zip file."""
-    context = df.sparkSession.sparkContext
-    if context.applicationId not in _SHIPPED:
-        package = Path(importlib.util.find_spec(__name__.partition(".")[0]).origin).parent
-        folder = tempfile.mkdtemp(prefix="tablewright-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        archive = os.path.join(folder, "tablewright_workers.zip")
-        with zipfile.ZipFile(archive, "w") as out:
-            for path in sorted(package.rglob("*.py")):
-                out.write(path, path.relative_to(package.parent))
-        context.addPyFile(archive)
-        _SHIPPED.add(context.applicationId)
-    return df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 

@@ -81,3 +81,11 @@ def test_nothing_learned_and_too_many_languages(spark, monkeypatch):
     monkeypatch.setattr(profiles, "MOST_LANGUAGES", 1)
     with pytest.raises(ValueError):
         profiles.detector(spark.createDataFrame([("a", " a ", 1), ("b", " a ", 1)], "lang string, gram string, rank int"))
+
+
+def test_texts_are_judged_without_lambdas_over_characters(spark):
+    """Lambdas over a text's characters, which Spark interprets, took most of the time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learned = profiles.learned(docs, "text", "lang")
+    for df in (learned, docs.select(profiles.detector(learned)(F.col("text")))):
+        assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
