@@ -1,7 +1,8 @@
 """Finding nonsense: how surprising a text's letters are, each given the one before, to a Markov model of a corpus.
 
-The model is learned by a group-by of letter pairs: after a letter of the ``ALPHABET`` commonest, p(next) = (pairs + 1) / (pairs with that first letter + V + 1) with V letters in the alphabet, so a pair never seen
-has a small share; after another letter 1 / (V + 1). It has at most ALPHABET x (ALPHABET + 1) rows, is brought to the driver and goes into the plan as a literal, so scoring is an expression. A text's perplexity is the inverse of the geometric mean of
+The model is learned by a group-by of letter pairs, which are counted in numpy within each batch of texts: after a letter of the ``ALPHABET`` commonest, p(next) = (pairs + 1) / (pairs with that first letter + V + 1) with V letters in the alphabet, so a pair never seen
+has a small share; after another letter 1 / (V + 1). It has at most ALPHABET x (ALPHABET + 1) rows, is brought to the driver and goes with the tasks as a table of
+letters by letters, so scoring is a column. A text's perplexity is the inverse of the geometric mean of
 its probabilities: near the alphabet's size for random letters, much less for words of the corpus's languages.
 
 Texts are lower-cased, with a blank for anything between words, before the first and after the last; whole texts count. Null texts and those without a letter have no perplexity and teach nothing.
@@ -9,30 +10,38 @@ Texts are lower-cased, with a blank for anything between words, before the first
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.functions.lookup import literal_table
-from tablewright.functions.profiles import let
+from tablewright.functions.profiles import BITS, at_once, code_points, spelled, words_of
+from tablewright.sources.scratch import cut
+from tablewright.sources.shipping import shipped
 
 ALPHABET = 256
 
 
-def pairs(text: Column) -> Column:
-    """All pairs of neighbouring characters of a text's words and the blanks around them, in order; none without a letter."""
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " "))
-    chars = F.filter(F.split(F.concat(F.lit(" "), words, F.lit(" ")), ""), lambda x: x != "")
+def _pair_counts(df: DataFrame, text: str) -> DataFrame:
+    """(pair, n) of the pairs of neighbouring characters of all texts' words and the blanks around them."""
 
-    def made(c: Column) -> Column:
-        places = F.when(F.size(c) > 2, F.sequence(F.lit(0), F.size(c) - 2)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda k: F.concat(F.get(c, k), F.get(c, k + 1)))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Texts with a blank between have the pairs that each has.
+            for some in at_once(batch.column(0).to_pylist()):
+                c = code_points(" ".join(some))
+                keys, n = np.unique(c[:-1] << BITS | c[1:], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(spelled(keys, 2), pa.string()), pa.array(n, pa.int64())], ["pair", "n"])
 
-    return let(chars, made)
+    words = shipped(df).select(words_of(F.col(text)).alias("words")).filter("words <> ''")
+    return words.mapInArrow(counted, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def transitions(df: DataFrame, text: str, alphabet: int = ALPHABET) -> DataFrame:
     """(pair, log_p) of the model: every pair seen, both of its letters in the alphabet; a letter alone stands for its unseen pairs, the empty text for all after other letters."""
-    each = df.select(F.explode_outer(pairs(F.col(text))).alias("pair")).filter(F.col("pair").isNotNull())
-    seen = each.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).select("pair", F.substring("pair", 1, 1).alias("a"), F.substring("pair", 2, 1).alias("b"), "n")
+    seen = cut(_pair_counts(df, text)).select("pair", F.substring("pair", 1, 1).alias("a"), F.substring("pair", 2, 1).alias("b"), "n")
     letters = F.broadcast(seen.groupBy("a").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "a").limit(alphabet))  # ``alphabet`` rows
     size = letters.agg(F.count(F.lit(1)).alias("v"))
     kept = seen.join(letters.select("a"), "a", "left_semi").join(letters.select(F.col("a").alias("b")), "b", "left_semi")
@@ -47,11 +56,24 @@ def transitions(df: DataFrame, text: str, alphabet: int = ALPHABET) -> DataFrame
 
 def perplexity(model: DataFrame):
     """A function from texts to their perplexity under ``model``; null for texts without a letter."""
-    of = literal_table(model, "pair", "log_p")
-
-    def found(text: Column) -> Column:
-        logs = F.transform(pairs(text), lambda p: F.coalesce(of(p), of(F.substring(p, 1, 1)), of(F.lit(""))))
-        mean = let(logs, lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda t, y: t + y) / F.size(x)))
-        return F.exp(-mean)
-
-    return found
+    of = {r[0]: r[1] for r in shipped(model).select("pair", "log_p").collect()}
+    letters = sorted({c for pair in of for c in pair})
+    at = {c: k for k, c in enumerate(letters)}
+    # A row and a column more for all other letters.
+    logs = np.full((len(letters) + 1, len(letters) + 1), of[""])
+    for pair, p in sorted(of.items(), key=lambda x: len(x[0])):  # a letter alone fills its row before its pairs
+        if pair:
+            logs[(at[pair[0]], at[pair[1]]) if len(pair) == 2 else at[pair]] = p
+    known = np.array([ord(c) for c in letters], np.int64)
+
+    def mean(words: str, places: np.ndarray) -> float | None:
+        k = places[code_points(words)]
+        return float(np.exp(-logs[k[:-1], k[1:]].mean())) if words else None
+
+    @F.pandas_udf("double")
+    def found(words: pd.Series) -> pd.Series:
+        places = np.full(1 << BITS, len(known), np.int64)
+        places[known] = np.arange(len(known))
+        return pd.Series([mean(w, places) for w in words], dtype="float64")
+
+    return lambda text: found(words_of(text))

@@ -80,3 +80,10 @@ def test_literal_tables(spark):
     df = rows.unionByName(spark.createDataFrame([("none", None), (None, None)], "k string, v double"))
     assert all(r[0] == r[1] for r in df.select("v", of(F.col("k")).alias("x")).collect())
     assert "from_json" not in df.select(of(F.col("k")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_scored_without_lambdas_over_characters(spark):
+    """Lambdas over a text's characters, which Spark interprets, took most of the time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    of = nonsense.perplexity(nonsense.transitions(docs, "text"))
+    assert "lambdafunction" not in docs.select(of(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
