@@ -6,7 +6,6 @@ import atexit
 import re
 import shutil
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
