@@ -1,9 +1,12 @@
 """Groups of vectors that point the same way: semantic duplicates, by cosine similarity.
 
-Equal vectors are one class first. The signs of a class's projections on random planes make its key in each of several tables; vectors at an angle t agree in a sign with probability 1 - t / pi.
-Keys are as long as the number of vectors asks for, and there are as many tables as give a pair at the least similarity the wanted chance to meet. Vectors that meet are compared exactly, in double
-precision. A bucket of many is dealt out as a grid of cells, each of two parts of about ``PART`` vectors, so no task gathers it; a cell gives no more than the edges of a spanning forest of what is similar in it, so
-edges grow with vectors and not with pairs. Groups are the connected components.
+Equal vectors are one class first. All classes meet, so every similar pair counts: they are dealt out as a grid of cells, each of two parts of at most about ``PART`` vectors, so no task gathers them. A cell first
+bounds its similarities from above, by products of the leading coordinates and of the lengths of what they leave out, and compares exactly, in double precision, what the bound lets pass. It gives no more than the
+edges of a spanning forest of what is similar in it, so edges grow with vectors and not with pairs. Groups are the connected components.
+
+The work so grows with the square of the classes, memory does not. Where a chance of less than one is enough (``recall``), only vectors of one bucket meet: the signs of projections on random planes make a vector's
+key in each of several tables; vectors at an angle t agree in a sign with probability 1 - t / pi. Keys are as long as the number of vectors asks for, and there are as many tables as give a pair at the least
+similarity the wanted chance to meet. Buckets are dealt out and compared as above.
 
 Vectors that are null, empty or all zero, or hold null or non-finite numbers, are in no group of others: each is its own, as a row of its own. Vectors of different length are never similar. Ids may repeat.
 """
@@ -18,10 +21,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.operators.components import components
 from tablewright.sources.scratch import cut
-
-LEAST, RECALL = 0.95, 0.999
-#: Vectors of a bucket in one part of its grid, about; a task compares two parts at a time.
-PART = 2000
+from tablewright.sources.shipping import shipped
+
+#: A recall of 1 compares all with all.
+LEAST, RECALL = 0.95, 1.0
+#: Vectors in one part of a grid, about, at most, or less of those longer than ``WIDE``; a task compares two parts at a time.
+PART, WIDE = 100_000, 64
+#: Fewer vectors are in ``PARTS`` parts, so that there are tasks for some dozens of cores, if a part then has ``FEWEST``.
+PARTS, FEWEST = 8, 5000
+#: Rows and columns of similarities that a task holds at a time.
+TILE = 2048
 #: Vectors that a bucket of unlike ones holds on average, about.
 IN_BUCKET = 50
 
@@ -32,7 +41,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(sound & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def shape(n: int, least: float = LEAST, recall: float = RECALL) -> tuple[int, int]:
+def shape(n: int, least: float = LEAST, recall: float = 0.999) -> tuple[int, int]:
     """(bits of a key, tables) for ``n`` vectors: pairs of cosine ``least`` agree in some table with probability ``recall`` or more."""
     bits = min(60, max(4, math.ceil(math.log2(max(n, 1) / IN_BUCKET + 1))))
     meets = (1 - math.acos(min(1.0, least)) / math.pi) ** bits
@@ -60,42 +69,121 @@ def plane_keys(vector: Column, bits: int, tables: int, seed: int = 7) -> Column:
 
 
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a graph given as a symmetric boolean matrix."""
-    left, edges = np.ones(len(near), bool), []
-    for start in range(len(near)):
-        if not left[start]:
+    """Edges (row, column) of a spanning forest of the graph between rows and columns that a boolean matrix gives."""
+    rows, columns, edges = near.any(1), near.any(0), []
+    for start in np.flatnonzero(rows):
+        if not rows[start]:
             continue
-        left[start], reached = False, [start]
+        rows[start], reached = False, [(True, int(start))]
         while reached:
-            k = reached.pop()
-            found = np.flatnonzero(near[k] & left)
-            left[found] = False
-            edges += [(k, int(j)) for j in found]
-            reached += found.tolist()
+            is_row, k = reached.pop()
+            found = np.flatnonzero(near[k] & columns if is_row else near[:, k] & rows)
+            (columns if is_row else rows)[found] = False
+            edges += [(k, int(j)) if is_row else (int(j), k) for j in found]
+            reached += [(not is_row, int(j)) for j in found]
+    return edges
+
+
+def _leading(d: int, least: float) -> int:
+    """So many of ``d`` coordinates that the bound lets pass about one in 100,000 pairs of vectors without structure."""
+    z = 4.25
+    return min(d, math.ceil(((z + math.sqrt(z * z + 4 * (1 - least) * d)) / 2) ** 2))
+
+
+def _bounds(x: np.ndarray, least: float) -> np.ndarray:
+    """Unit vectors in single precision, turned to the axes along which they spread most: the leading coordinates and the length of the others. Products of such rows are no less than those of whole ones."""
+    d = x.shape[1]
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1] if d <= 1024 else None  # of longer ones the first coordinates lead
+    m = _leading(d, least)
+    made = np.empty((len(x), m + 1), np.float32)
+    for at in range(0, len(x), TILE):
+        turned = x[at : at + TILE] if axes is None else x[at : at + TILE] @ axes
+        made[at : at + TILE, :m] = turned[:, :m]
+        made[at : at + TILE, m] = np.sqrt((turned[:, m:] ** 2).sum(1))
+    return made
+
+
+def _near(x: np.ndarray, y: np.ndarray, bound: np.ndarray | None, least: float) -> np.ndarray | None:
+    """Which of the unit vectors ``x`` and ``y`` are similar, as a boolean matrix, or None if none is. ``bound`` has what none of their similarities exceeds."""
+    if bound is None:
+        near = x @ y.T >= least
+        return near if near.any() else None
+    maybe = bound >= np.float32(least - 1e-5 - 2e-7 * x.shape[1])  # more than single precision can be wrong by
+    n = np.count_nonzero(maybe)
+    if not n:
+        return None
+    if n > maybe.size // 64:
+        return _near(x, y, None, least)
+    i, j = np.nonzero(maybe)
+    maybe[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= least
+    return maybe if maybe[i, j].any() else None
+
+
+def forest_of_cell(x: np.ndarray, own: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the similar ones among ``x``, unit vectors: of all, if ``own`` is the same for all, or else of pairs with different ``own``, of which there are two, in order."""
+    cut_at = int(np.searchsorted(own, own[-1]))
+    one, other = (range(0, len(x), TILE),) * 2 if cut_at == 0 else (range(0, cut_at, TILE), range(cut_at, len(x), TILE))
+    ends = (len(x), len(x)) if cut_at == 0 else (cut_at, len(x))
+    quick = _bounds(x, least) if len(x) > TILE else None
+    root, edges = np.arange(len(x)), []
+    for a in one:
+        for b in other:
+            if cut_at == 0 and b < a:
+                continue
+            rows, columns = slice(a, min(a + TILE, ends[0])), slice(b, min(b + TILE, ends[1]))
+            near = _near(x[rows], x[columns], None if quick is None else quick[rows] @ quick[columns].T, least)
+            if near is None:
+                continue
+            near &= root[rows, None] != root[None, columns]  # the others are joined already, or one row
+            joins = {}
+
+            def find(k):
+                while k in joins:
+                    k = joins[k]
+                return k
+
+            for i, j in _forest(near):
+                u, v = find(int(root[a + i])), find(int(root[b + j]))
+                if u != v:
+                    joins[max(u, v)] = min(u, v)
+                    edges.append((a + i, b + j))
+            if joins:
+                to = np.arange(len(x))
+                to[list(joins)] = [find(k) for k in joins]
+                root = to[root]
     return edges
 
 
 def similar_edges(vectors: DataFrame, least: float = LEAST, recall: float = RECALL, part: int = PART) -> DataFrame:
-    """(u, v) between the keys of ``vectors`` (key, vector), all usable and different: verified pairs at ``least`` or more that connect all that such pairs connect in some bucket."""
-    bits, tables = shape(vectors.count(), least, recall)
-    each = vectors.withColumn("n", F.size("vector")).withColumn("keys", plane_keys(F.col("vector"), bits, tables))
-    each = each.select("key", "n", "vector", F.posexplode("keys").alias("t", "bucket"))
+    """(u, v) between the keys of ``vectors`` (key, vector), all usable and different: verified pairs at ``least`` or more that connect all that such pairs connect, in some bucket if ``recall`` is less than 1."""
+    rows = vectors.count()
+    each = shipped(vectors).withColumn("n", F.size("vector"))
+    if recall < 1:
+        each = each.withColumn("keys", plane_keys(F.col("vector"), *shape(rows, least, recall)))
+        each = each.select("key", "n", "vector", F.posexplode("keys").alias("t", "bucket"))
+    else:
+        each = each.select("key", "n", "vector", F.lit(0).alias("t"), F.lit(0).cast("long").alias("bucket"))
     counts = each.groupBy("t", "bucket", "n").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    parts = counts.select("t", "bucket", "n", F.ceil(F.col("rows") / part).alias("parts"))
+    few = F.least(F.lit(PARTS), F.floor(F.col("rows") / FEWEST))
+    wide = F.greatest(F.col("n") / WIDE, F.lit(1.0))
+    parts = counts.select("t", "bucket", "n", F.greatest(F.ceil(F.col("rows") * wide / part), few).alias("parts"))
     dealt = each.join(parts, ["t", "bucket", "n"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     cells = cells.select("t", "bucket", "n", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "vector")
+    if recall >= 1:
+        # Cells are few and costly, so they are not put together by size.
+        across = max(-(-rows // part), min(PARTS, rows // FEWEST), 1)
+        made = across * (across + 1) // 2
+        cells = cells.repartition(max(made, min(2 * made, 500)), "t", "bucket", "n", "i", "j")
 
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("own", kind="stable")
         x = np.stack([np.asarray(v, np.float64) for v in rows["vector"]])
         x /= np.abs(x).max(1, keepdims=True)
         x /= np.sqrt((x * x).sum(1, keepdims=True))
-        near = x @ x.T >= least
-        own = rows["own"].to_numpy()
-        if rows["i"].iloc[0] != rows["j"].iloc[0]:
-            near &= own[:, None] != own[None]  # pairs of one part meet in that part's own cell
-        np.fill_diagonal(near, False)
-        keys, edges = rows["key"].tolist(), _forest(near)
+        own, keys = rows["own"].to_numpy(), rows["key"].tolist()
+        # Pairs of one part meet in that part's own cell, so another's cell without both has none.
+        edges = [] if rows["i"].iloc[0] != rows["j"].iloc[0] and own[0] == own[-1] else forest_of_cell(x, own, least)
         return pd.DataFrame({"u": [keys[a] for a, _ in edges], "v": [keys[b] for _, b in edges]}, dtype=object)
 
     kind = vectors.schema["key"].dataType.simpleString()

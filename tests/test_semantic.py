@@ -114,3 +114,32 @@ def test_a_bucket_of_like_vectors_gives_a_forest(spark):
 
 def test_empty(spark):
     assert semantic.groups(spark.createDataFrame([], "id long, e array<float>"), "id", "e").count() == 0
+
+
+@pytest.mark.parametrize("part", [semantic.PART, 2500])
+def test_every_pair_at_the_least_similarity_is_found(spark, part):
+    """3,000 pairs at a cosine of 0.9501, of which tables of planes lose some."""
+    rng, dim, n = np.random.default_rng(5), 64, 3000
+    a, other = rng.standard_normal((n, dim)), rng.standard_normal((n, dim))
+    a /= np.sqrt((a * a).sum(1, keepdims=True))
+    other -= (other * a).sum(1, keepdims=True) * a
+    other /= np.sqrt((other * other).sum(1, keepdims=True))
+    b = 0.9501 * a + math.sqrt(1 - 0.9501**2) * other
+    rows = [(2 * k + s, x[k].tolist()) for k in range(n) for s, x in ((0, a), (1, b))]
+    found = semantic.groups(spark.createDataFrame(rows, "id long, e array<double>").repartition(4), "id", "e", part=part)
+    assert found.filter("id % 2 = 1 and group_id = id - 1 and rows = 2").count() == n
+
+
+@pytest.mark.parametrize("two", [False, True])
+@pytest.mark.parametrize("spread", [0.01, 0.05, 0.3])
+def test_a_cell_of_several_tiles_connects_what_is_similar(two, spread):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((300 if spread > 0.1 else 3, 24))
+    x = centres[rng.integers(len(centres), size=5000)] + spread * rng.standard_normal((5000, 24))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    own = np.sort(rng.integers(2, size=5000)) if two else np.zeros(5000, int)
+    edges = semantic.forest_of_cell(x, own, 0.95)
+    near = (x @ x.T >= 0.95) & ((own[:, None] != own[None]) if two else True)
+    assert all(near[a, b] for a, b in edges) and len(edges) < 5000
+    want = plain_components([(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)))])
+    assert plain_components(edges) == want
