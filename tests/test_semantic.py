@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -143,3 +144,23 @@ def test_a_cell_of_several_tiles_connects_what_is_similar(two, spread):
     assert all(near[a, b] for a, b in edges) and len(edges) < 5000
     want = plain_components([(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)))])
     assert plain_components(edges) == want
+
+
+def test_parts_are_sent_packed_to_cells_of_their_own(spark, monkeypatch):
+    """A task for each cell and no sort, which would spill what is sent once more; edges between numbers, however keys are told."""
+    monkeypatch.setattr(semantic, "HELD", 2000, raising=False)
+    rows = vectors(3)
+    kept = [(k, v) for k, (i, v) in enumerate(rows) if i is not None and v and len(v) == 12 and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    kept = list({tuple(v): (k, v) for k, v in kept}.values())
+    for kind in ("double", "float"):
+        df = spark.createDataFrame(kept, f"key long, vector array<{kind}>").repartition(3)
+        made = semantic.similar_edges(df, part=20)
+        plan, parts = made._jdf.queryExecution().executedPlan().toString(), -(-len(kept) // 20)
+        assert re.findall(r"direct_shuffle_partition_id\(cell#\d+\), (\d+)\)", plan) == [str(parts * (parts + 1) // 2)] and "Sort" not in plan
+        assert dict(made.dtypes) == {"u": "bigint", "v": "bigint"}
+        unit = np.array([v for _, v in kept], np.float32 if kind == "float" else float).astype(float)
+        unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+        near = np.argwhere(np.triu(unit @ unit.T >= 0.95, 1))
+        want = plain_components([(kept[a][0], kept[b][0]) for a, b in near])
+        assert {frozenset(x for x in g if g[x] == r) for g in [plain_components([tuple(e) for e in made.collect()])] for r in set(g.values())} == {frozenset(x for x in want if want[x] == r) for r in set(want.values())}
+        assert len(near) > 20
